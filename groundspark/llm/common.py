@@ -13,6 +13,7 @@ Conventions for every operator here:
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -91,6 +92,12 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that no variable holds any more, now rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of the column; one row is the least."""
     start = size = 0

@@ -211,7 +211,7 @@ def _settle(held: list[tuple]) -> pa.RecordBatch:
 
 
 def _windows(width: int):
-    """Rows (h, g, id, c, at, n): the earliest window of each hash in a chunk (n = 0), runs of later ones (n > 0)."""
+    """Rows (h, g, id, ac): the earliest window of each hash in a chunk; runs of n later ones have g = -1 - n.  ac is place << 32 | c."""
 
     def run(batches):
         parser = Parser(width)
@@ -252,16 +252,16 @@ def _earliest(held: list[tuple]) -> pa.RecordBatch:
     first = ~later & ~twin
     l = np.flatnonzero(later)
     l = l[np.lexsort((at[l], crc[l], ids[l]))]
-    cols = [w[first], g[first], ids[first], crc[first], at[first], np.zeros(int(first.sum()), np.int64)]
+    ac = (at << 32) | crc
+    cols = [w[first], g[first], ids[first], ac[first]]
     if len(l):
         new = np.r_[True, (at[l][1:] > at[l][:-1] + 1) | (ids[l][1:] != ids[l][:-1]) | (crc[l][1:] != crc[l][:-1])]
         s = np.flatnonzero(new)
         e = np.r_[s[1:], len(l)] - 1
         i = l[s]
-        more = [mix(ids[i].astype(U) * U(31) + at[i].astype(U)), np.full(len(i), -1), ids[i], crc[i], at[i], at[l[e]] - at[i] + 1]
+        more = [mix(ids[i].astype(U) * U(31) + at[i].astype(U)), at[i] - at[l[e]] - 2, ids[i], ac[i]]
         cols = [np.concatenate(x) for x in zip(cols, more, strict=True)]
-    kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(x.view(t) if x.dtype == U else x.astype(t)) for x, t in zip(cols, kinds, strict=True)], ["h", "g", "id", "c", "at", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], ["h", "g", "id", "ac"])
 
 
 def _cut(width: int, keep_text: bool):
@@ -303,14 +303,18 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = True)
     hit = met.where(F.when(root, F.col("settled") | (F.col("id") > F.col("least"))).otherwise(F.col("settled") | (F.col("rows") > 1)))
     marks = hit.groupBy("id", "c").agg(F.max(root).alias("copy"), F.collect_list(F.when(~root, F.struct("at", "n"))).alias("runs"))
     marks, _ = common.stored(marks, "anchors")
+    del named, met, hit
+    common.release(docs.sparkSession)
 
     texts = d.select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("id"), F.crc32("text").alias("c"), "doc_id", "text")
     todo = texts.join(marks.where(~F.col("copy")).select("id", "c", "runs"), ["id", "c"]).select("id", "c", "runs", "text")
-    sent = todo.mapInArrow(_windows(width), "h long, g long, id long, c long, at int, n int")
-    by = Window.partitionBy("h", "g")
-    place = F.struct("id", "at")
-    ranked = sent.select("*", F.min(F.when(F.col("n") == 0, place)).over(by).alias("least"))
-    late = ranked.where((F.col("n") > 0) | (place > F.col("least"))).groupBy("id", "c").agg(F.collect_list(F.struct("at", F.greatest("n", F.lit(1)).alias("n"))).alias("runs"))
+    sent = todo.mapInArrow(_windows(width), "h long, g long, id long, ac long")
+    by = Window.partitionBy("h", "g")  # at most one row of each worker chunk
+    at = F.shiftright("ac", 32)
+    place = F.struct("id", at)
+    ranked = sent.select("*", F.min(place).over(by).alias("least"))
+    late = ranked.where((F.col("g") < 0) | (place > F.col("least"))).select("id", F.col("ac").bitwiseAND(0xFFFFFFFF).alias("c"), F.struct(at.cast("int").alias("at"), F.when(F.col("g") < 0, -1 - F.col("g")).otherwise(1).cast("int").alias("n")).alias("r"))
+    late = late.groupBy("id", "c").agg(F.collect_list("r").alias("runs"))
     lost = late.select("id", "c", F.lit(False).alias("copy"), "runs").unionByName(marks.where("copy").select("id", "c", "copy", F.lit(None).cast("array<struct<at:int,n:int>>").alias("runs")))
     out = texts.join(lost, ["id", "c"], "left").select("doc_id", F.coalesce("copy", F.lit(False)).alias("copy"), "runs", "text")
     return out.mapInArrow(_cut(width, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text)
