@@ -16,6 +16,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -94,8 +95,10 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that no variable holds any more, now rather than at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # handles of JVM objects are given back with a delay
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

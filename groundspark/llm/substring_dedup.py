@@ -307,15 +307,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = True)
     common.release(docs.sparkSession)
 
     texts = d.select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("id"), F.crc32("text").alias("c"), "doc_id", "text")
-    todo = texts.join(marks.where(~F.col("copy")).select("id", "c", "runs"), ["id", "c"]).select("id", "c", "runs", "text")
+    todo = texts.join(marks.where(~F.col("copy")).select("id", "c", "runs"), ["id", "c"]).select("id", "c", "runs", "text", "doc_id")  # doc_id, so that the texts' exchange is the last join's, too
     sent = todo.mapInArrow(_windows(width), "h long, g long, id long, ac long")
     by = Window.partitionBy("h", "g")  # at most one row of each worker chunk
     at = F.shiftright("ac", 32)
     place = F.struct("id", at)
     ranked = sent.select("*", F.min(place).over(by).alias("least"))
     late = ranked.where((F.col("g") < 0) | (place > F.col("least"))).select("id", F.col("ac").bitwiseAND(0xFFFFFFFF).alias("c"), F.struct(at.cast("int").alias("at"), F.when(F.col("g") < 0, -1 - F.col("g")).otherwise(1).cast("int").alias("n")).alias("r"))
-    late = late.groupBy("id", "c").agg(F.collect_list("r").alias("runs"))
-    lost = late.select("id", "c", F.lit(False).alias("copy"), "runs").unionByName(marks.where("copy").select("id", "c", "copy", F.lit(None).cast("array<struct<at:int,n:int>>").alias("runs")))
+    copies = marks.where("copy").select("id", "c", F.lit(None).cast("struct<at:int,n:int>").alias("r"))
+    lost = late.withColumn("copy", F.lit(False)).union(copies.withColumn("copy", F.lit(True))).groupBy("id", "c").agg(F.max("copy").alias("copy"), F.collect_list("r").alias("runs"))
     out = texts.join(lost, ["id", "c"], "left").select("doc_id", F.coalesce("copy", F.lit(False)).alias("copy"), "runs", "text")
     return out.mapInArrow(_cut(width, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text)
 
