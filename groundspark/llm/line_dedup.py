@@ -48,7 +48,8 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS)
     """
     e, _ = common.stored(long_lines(docs, min_chars), "lines")
     shared = e.groupBy("h", "g").agg(F.countDistinct("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs)
-    hit = e.join(shared.select("h", "g", "last"), ["h", "g"]).where(F.col("id") != F.col("last"))
+    shared, _ = common.stored(shared.select("h", "g", "last"), "shared")  # so that both sides of the join are plain exchanges, which Spark can split
+    hit = e.join(shared, ["h", "g"]).where(F.col("id") != F.col("last"))
     return hit.groupBy("id", "c").agg(F.collect_set("p").alias("at"))
 
 

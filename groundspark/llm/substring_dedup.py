@@ -78,17 +78,19 @@ def anchors(h: np.ndarray, doc: np.ndarray, width: int = WIDTH, rounds: int = RO
     for r in range(rounds):
         if len(name) < 2:
             break
-        # Runs: equal neighbours become one symbol, whose ends had to be seen.
+        # Runs of equal symbols get a name, decided by the symbols at both ends; pairs are still made of the single ones,
+        # so that a pair doesn't depend on what stands beside it.
         joined = (name[1:] == name[:-1]) & (own[1:] == own[:-1])
         if joined.any():
-            head = np.flatnonzero(np.r_[True, ~joined])
-            tail = np.r_[head[1:], len(name)] - 1
-            run = tail > head
-            made = np.where(run, mix(name[head] + mix((tail - head).astype(U) + U(1000 + r))), name[head])
-            left = np.where(head > 0, lo[np.maximum(head - 1, 0)], -far)
-            right = np.where(tail + 1 < len(name), hi[np.minimum(tail + 1, len(name) - 1)], far)
-            lo2, hi2 = np.where(run, np.minimum(lo[head], left), lo[head]), np.where(run, np.maximum(hi[tail], right), hi[tail])
-            name, lo, hi, own, first, last = made, lo2, hi2, own[head], first[head], last[tail]
+            head = np.flatnonzero(np.r_[True, ~joined] & np.r_[joined, False])
+            tail = np.flatnonzero(np.r_[False, joined] & np.r_[~joined, True])
+            made = mix(name[head] + mix((tail - head).astype(U) + U(1000 + r)))
+            left = np.where((head > 0) & (own[np.maximum(head - 1, 0)] == own[head]), lo[np.maximum(head - 1, 0)], -far)
+            nxt = np.minimum(tail + 1, len(name) - 1)
+            right = np.where((nxt > tail) & (own[nxt] == own[tail]), hi[nxt], far)
+            l2, h2 = np.minimum(np.minimum.reduceat(np.r_[lo, far], np.c_[head, tail + 1].ravel())[::2], left), np.maximum(np.maximum.reduceat(np.r_[hi, -far], np.c_[head, tail + 1].ravel())[::2], right)
+            ok = h2 - l2 < width
+            offer(made[ok], (last[tail] - first[head] + 1)[ok], l2[ok], h2[ok])
         # Pairs.
         side = (mix(name + U(r + 1)) & U(1)).astype(bool)  # True: left
         m = len(name)
