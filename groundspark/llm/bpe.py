@@ -1,7 +1,7 @@
 """Exact byte-level BPE over a transducer lexicon (operator 8), and the unit cache that operators 4 and 7 share.
 
-A text is cut into units - a run of other characters with at most one leading
-space, or white space - such that the tokenizer's own pattern never matches
+A text is cut into units - letters, or a run of characters that aren't white
+space, with at most one leading space, or white space - such that the tokenizer's own pattern never matches
 across two units.  Each distinct unit is encoded once per worker.  For
 operator 8 a unit is split by the pattern into words; words of the lexicon get
 their ids from a minimal acyclic transducer that workers map into memory, and
@@ -33,7 +33,9 @@ from . import common
 
 #: The characters with the Unicode property White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
-UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Letters before white space or ASCII punctuation are a unit of their own: "word", "word," and "word." share it.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+UNIT = re.compile(rf" ?[{LETTERS}]+(?=[{SPACE}!-/:-@\[-`{{-~]|\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Fixed pattern of the tokenizer (contractions, letters, numbers, others, white space).
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Bounds of the lexicon: documents sampled, bytes of a sampled document, least count, most words.
@@ -264,7 +266,7 @@ class _Memo(dict):
 class UnitEncoder:
     """Ids of texts by way of distinct units.  `encode` maps a list of units to all their ids and the number of each."""
 
-    def __init__(self, encode, splitter: re.Pattern | None, special: dict[str, int], most: int = 500_000):
+    def __init__(self, encode, splitter: re.Pattern | None, special: dict[str, int], most: int = 600_000):
         self.encode, self.splitter, self.special, self.most = encode, splitter, special, most
         self._reset()
 
