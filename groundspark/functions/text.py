@@ -54,7 +54,7 @@ def strip_wikitext(c: Column) -> Column:
 
 def section(c: Column, names: tuple[str, ...] = ("Plot", "Synopsis")) -> Column:
     """Body of the first second-level section with one of the names ('' if none)."""
-    return F.trim(F.regexp_extract(c, rf"(?ms)^==\s*(?:{'|'.join(names)})\s*==\s*$(.*?)(?=^==[^=]|\z)", 1))
+    return F.btrim(F.regexp_extract(c, rf"(?ms)^==\s*(?:{'|'.join(names)})\s*==\s*$(.*?)(?=^==[^=]|\z)", 1), F.lit(" \t\r\n"))
 
 
 def triple_lines(c: Column, relations: tuple[str, ...]) -> Column:
