@@ -266,7 +266,7 @@ class _Memo(dict):
 class UnitEncoder:
     """Ids of texts by way of distinct units.  `encode` maps a list of units to all their ids and the number of each."""
 
-    def __init__(self, encode, splitter: re.Pattern | None, special: dict[str, int], most: int = 600_000):
+    def __init__(self, encode, splitter: re.Pattern | None, special: dict[str, int], most: int = 400_000):
         self.encode, self.splitter, self.special, self.most = encode, splitter, special, most
         self._reset()
 
