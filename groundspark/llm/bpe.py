@@ -373,11 +373,12 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary) -> bytes:
     """Transducer of the vocabulary's own words and of the frequent words of a bounded sample.
 
     The sample is the SAMPLE_DOCS documents of at most SAMPLE_BYTES bytes with
-    the smallest hash of doc_id.  It decides only which words are looked up
+    the smallest hash.  It decides only which words are looked up
     instead of merged, never a result.
     """
-    d = common.documents(docs).where(F.octet_length("text") <= SAMPLE_BYTES)
-    texts = [r.text for r in d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text").collect()]
+    d = common.documents(docs).where(F.octet_length("text") <= SAMPLE_BYTES).withColumn("h", F.xxhash64("doc_id", "text"))
+    least = d.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # only hashes move
+    texts = [] if least is None else [r.text for r in d.where(F.col("h") <= least).select("h", "text").distinct().select("text").collect()]  # at most SAMPLE_DOCS
     count: Counter = Counter()
     for t in texts:
         count.update(w for u in UNIT.findall(t) for w in WORD.findall(u))
