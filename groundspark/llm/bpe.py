@@ -42,6 +42,8 @@ WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE
 SAMPLE_DOCS, SAMPLE_BYTES, LEAST_COUNT, MOST_WORDS = 2000, 16_384, 4, 60_000
 #: Longer words are merged one by one with a heap.
 LOCKSTEP = 48
+#: New units that the library encodes as one string.
+JOINED = 64
 NONE = np.int64(1 << 62)
 
 
@@ -275,6 +277,20 @@ class UnitEncoder:
         self.memo.new = []
         self.flat, self.size = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int32)
         self.begin, self.used, self.n = np.empty(1 << 14, np.int32), 0, 0
+        self.hits = np.zeros(0, np.int64)
+
+    def _trim(self) -> None:
+        """Forget units met once, and so many more that at most half of `most` stay; results don't depend on it."""
+        old, hits, flat, begin, size = self.memo, self.hits, self.flat, self.begin, self.size
+        least = max(2, int(np.partition(hits, -(self.most // 2))[-(self.most // 2)]) + 1) if len(hits) > self.most // 2 else 2
+        stay = np.flatnonzero(hits >= least)
+        units = list(itertools.compress(old, (hits >= least).tolist()))
+        n = size[stay].astype(np.int64)
+        ids = gather(flat, begin[stay].astype(np.int64), n)
+        self._reset()
+        self.memo.update(zip(units, range(len(units)), strict=True))
+        self._add(ids, n)
+        self.hits = hits[stay] >> 1
 
     def _add(self, ids: np.ndarray, n: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
@@ -289,7 +305,7 @@ class UnitEncoder:
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
         if len(self.memo) > self.most:
-            self._reset()
+            self._trim()
         index, per = [], np.empty(len(texts), np.int64)
         for k, text in enumerate(texts):
             units = UNIT.findall(text) if self.splitter is None or not self.splitter.search(text) else self._with_special(text)
@@ -306,6 +322,9 @@ class UnitEncoder:
             self._add(ids, n)
             self.memo.new = []
         at = np.concatenate(index) if index else np.empty(0, np.int64)
+        hits = np.bincount(at, minlength=len(self.memo))
+        hits[: len(self.hits)] += self.hits
+        self.hits = hits
         size = self.size[at].astype(np.int64)
         return gather(self.flat, self.begin[at].astype(np.int64), size), sums(size, per)
 
@@ -350,10 +369,28 @@ def library_encoder(path: str, vocabulary: Vocabulary) -> UnitEncoder:
     tok.no_truncation()
     tok.no_padding()
 
+    mark = tok.encode("\n", add_special_tokens=False).ids[0]
+
     def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in tok.encode_batch_fast(units, add_special_tokens=False)]
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(n.sum())), n
+        # Units that aren't white space have none but one leading space, so "\n" between two of them is a token of its own.
+        plain = np.fromiter((not u.isspace() for u in units), bool, len(units))
+        joined = [u for u in units if not u.isspace()]
+        lines = ["\n".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)]
+        alone = [u for u in units if u.isspace()]
+        ids = [np.r_[np.array(e.ids, np.int64), mark] for e in tok.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.concatenate(ids) if ids else np.empty(0, np.int64)
+        at = np.flatnonzero(flat == mark)
+        size = np.empty(len(units), np.int64)
+        size[plain] = np.diff(np.r_[-1, at]) - 1
+        lists = [e.ids for e in tok.encode_batch_fast(alone, add_special_tokens=False)]
+        size[~plain] = list(map(len, lists))
+        if not alone:
+            return flat[flat != mark], size
+        begin = np.empty(len(units), np.int64)
+        pool = np.concatenate([flat, np.fromiter(itertools.chain.from_iterable(lists), np.int64)])
+        begin[plain] = np.r_[0, at[:-1] + 1] if len(at) else 0
+        begin[~plain] = len(flat) + np.cumsum(size[~plain]) - size[~plain]
+        return gather(pool, begin, size), size
 
     return UnitEncoder(encode, vocabulary.splitter, vocabulary.special)
 
