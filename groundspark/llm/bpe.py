@@ -36,6 +36,8 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: Letters before white space or ASCII punctuation are a unit of their own: "word", "word," and "word." share it.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 UNIT = re.compile(rf" ?[{LETTERS}]+(?=[{SPACE}!-/:-@\[-`{{-~]|\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: A unit that is one word of the tokenizer's pattern.
+ONE_WORD = re.compile(rf" ?[{LETTERS}]+")
 #: Fixed pattern of the tokenizer (contractions, letters, numbers, others, white space).
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Bounds of the lexicon: documents sampled, bytes of a sampled document, least count, most words.
@@ -370,8 +372,10 @@ def library_encoder(path: str, vocabulary: Vocabulary) -> UnitEncoder:
     tok.no_padding()
 
     mark = tok.encode("\n", add_special_tokens=False).ids[0]
+    letter_of = {b: letter for letter, b in byte_letters().items()}
+    to_letters, line_end = {b: ord(letter) for b, letter in letter_of.items()}, letter_of[10]
 
-    def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def as_strings(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # Units that aren't white space have none but one leading space, so "\n" between two of them is a token of its own.
         plain = np.fromiter((not u.isspace() for u in units), bool, len(units))
         joined = [u for u in units if not u.isspace()]
@@ -392,6 +396,24 @@ def library_encoder(path: str, vocabulary: Vocabulary) -> UnitEncoder:
         begin[~plain] = len(flat) + np.cumsum(size[~plain]) - size[~plain]
         return gather(pool, begin, size), size
 
+    def as_words(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # One word of the pattern each: the library's model takes them without its search for words.
+        words = "\n".join(units).encode().decode("latin-1").translate(to_letters).split(line_end)
+        lists = [[t.id for t in tokens] for tokens in map(tok.model.tokenize, words)]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(size.sum())), size
+
+    def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        word = np.fromiter((ONE_WORD.fullmatch(u) is not None for u in units), bool, len(units))
+        parts = [f(list(itertools.compress(units, which.tolist()))) for f, which in ((as_words, word), (as_strings, ~word)) if which.any()]
+        if len(parts) == 1:
+            return parts[0]
+        (ids_w, n_w), (ids_s, n_s) = parts
+        size, begin = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        size[word], size[~word] = n_w, n_s
+        begin[word], begin[~word] = np.cumsum(n_w) - n_w, len(ids_w) + np.cumsum(n_s) - n_s
+        return gather(np.concatenate([ids_w, ids_s]), begin, size), size
+
     return UnitEncoder(encode, vocabulary.splitter, vocabulary.special)
 
 
