@@ -176,7 +176,16 @@ def _named(width: int):
                     s = np.flatnonzero(head)
                     size = np.diff(np.r_[s, len(at)])
                     i = at[s]
-                    held.append((key[i], ids[doc[i]], crc[doc[i]], place[i], size, np.zeros(len(i), np.int64), np.logical_or.reduceat(again[at], s)))
+                    settled = np.logical_or.reduceat(again[at], s)
+                    # A run goes on over all occurrences of its name; in a long one equal windows may lie farther apart.
+                    run_of = np.repeat(np.arange(len(s)), size)
+                    far = np.flatnonzero(((size > width + 1) & ~settled)[run_of])
+                    if len(far):
+                        r, v = run_of[far], w[at[far]]
+                        o = np.lexsort((v, r))
+                        r, v = r[o], v[o]
+                        settled[r[1:][(r[1:] == r[:-1]) & (v[1:] == v[:-1])]] = True
+                    held.append((key[i], ids[doc[i]], crc[doc[i]], place[i], size, np.zeros(len(i), np.int64), settled))
                     count += len(i)
                 big = np.flatnonzero(n >= width)
                 if len(big):

@@ -96,6 +96,20 @@ def test_op1_small_alphabets_and_small_chunks(spark, monkeypatch):
     assert rows_of(s.remove_repeats(df, 6, keep_text=False)) == brute_repeats(rows, 6)
 
 
+def test_op1_far_repeats_under_one_anchor(spark):
+    """Templated rows that repeat in their own document only: one run of windows holds many occurrences of its anchor and the repeat."""
+    from groundspark.llm import substring_dedup as s
+
+    rows = []
+    for seed in range(12):
+        fields = [f"f{seed}x{i}" for i in range(30)]
+        phrase = [f"t{seed}y{i}" for i in range(9)]
+        rows.append((seed, " ".join(" ".join([*phrase, f]) for f in [*fields, *fields[5:20]])))
+    want = brute_repeats(rows, 20)
+    assert rows_of(s.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=False)) == want
+    assert all(r[2] > 100 for r in want)
+
+
 def test_op1_equal_windows_have_equal_anchors():
     import numpy as np
 
