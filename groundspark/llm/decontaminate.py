@@ -19,7 +19,8 @@ question is the whole item).  A part of fewer than five words is one shingle.
 
 The benchmark is collected in blocks of at most BLOCK_BYTES of text, and each
 block's index is sent to the workers; the documents are read once for each
-block.
+block.  Document frequencies, mean length and the longest item are counted
+over the whole benchmark, so the number of blocks has no effect on results.
 
 Defined results: null or empty documents and items match nothing, nor do
 items without a letter or digit; repeated items are reported each; repeated
@@ -65,28 +66,32 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> set[bytes]:
 class Index:
     """Impacts of items by term, in blocks."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, whole: tuple[int, int, int, dict[bytes, int]] | None = None):
+        """whole: items, words, words of the longest item and items by term of a benchmark that the items are a part of."""
         kept = [(i, t, w) for i, t in items if (w := terms(t or ""))]
         self.items, self.threshold = [i for i, _, _ in kept], threshold
         self.parts = [[shingles(p) for p in question_and_answer(t)] for _, t, _ in kept]
-        n, self.longest = len(kept), max([1, *(len(w) for _, _, w in kept)])
-        mean = sum(len(w) for _, _, w in kept) / max(1, n)
         df = Counter(t for _, _, w in kept for t in set(w))
+        n, total, self.longest = len(kept), sum(len(w) for _, _, w in kept), max([1, *(len(w) for _, _, w in kept)])
+        if whole:
+            n, total, self.longest = whole[:3]
+            df = {t: whole[3][t] for t in df}
+        mean = total / max(1, n)
         self.term = {t: k for k, t in enumerate(df)}
         self.posts: list[tuple[list[int], list[float]]] = [([], []) for _ in df]
         essential = np.zeros(len(df) + 1, bool)
         for item, (_, _, words) in enumerate(kept):
             tf = Counter(words)
             gain = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for t, f in tf.items()}
-            whole = sum(gain.values())
+            own_score = sum(gain.values())
             rest = 1.0
             for t in sorted(gain, key=lambda t: (df[t], -gain[t], t)):
                 k = self.term[t]
                 self.posts[k][0].append(item)
-                self.posts[k][1].append(gain[t] / whole)
+                self.posts[k][1].append(gain[t] / own_score)
                 if rest >= threshold - 1e-9:
                     essential[k] = True
-                    rest -= gain[t] / whole
+                    rest -= gain[t] / own_score
         self.essential = essential
         own: list[tuple[list[int], list[float]]] = [([], []) for _ in kept]
         for t, post in enumerate(self.posts):
@@ -189,15 +194,41 @@ class Index:
         return len(part & seen) / len(part)
 
 
+def _counts(b: DataFrame) -> DataFrame:
+    """term, items (that hold it); for the null term: all items, their words, the words of the longest."""
+
+    def run(batches):
+        for batch in batches:
+            df, sizes = Counter(), []
+            for text in common.texts_of(batch):
+                if words := terms(text):
+                    df.update(set(words))
+                    sizes.append(len(words))
+            k = len(df)
+            cols = [pa.array([*df, None], pa.binary())] + [pa.array(x, pa.int64()) for x in ([*df.values(), len(sizes)], [0] * k + [sum(sizes)], [0] * k + [max(sizes, default=0)])]
+            yield pa.RecordBatch.from_arrays(cols, ["term", "items", "words", "longest"])
+
+    each = b.select("text").mapInArrow(run, "term binary, items long, words long, longest long")
+    return each.groupBy("term").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+
+
 def _blocks(benchmark: DataFrame):
-    """(item_id, text) lists of about BLOCK_BYTES each; the table is dealt out by a hash of item_id and text."""
+    """(item_id, text) lists of about BLOCK_BYTES each, and the whole benchmark's figures; the table is dealt out by a hash of item_id and text."""
+    common.reach_workers(benchmark.sparkSession)
     b = common.pick(benchmark, "item_id", "text").where(F.col("text").isNotNull())
     n = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-n // (BLOCK_BYTES // 2)))
+    if blocks > 1:
+        counts, _ = common.stored(_counts(b), "benchmark-terms")
+        whole = counts.where(F.col("term").isNull()).first()
     for k in range(blocks):
         part = b if blocks == 1 else b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         if rows := [(r.item_id, r.text) for r in part.collect()]:  # about BLOCK_BYTES / 2
-            yield sorted(rows, key=lambda r: (r[0] is None, r[0], r[1]))
+            figures = None
+            if blocks > 1:
+                own = _counts(part).where(F.col("term").isNotNull()).select("term")
+                figures = (whole.items, whole.words, max(1, whole.longest), {bytes(r.term): r.items for r in counts.join(own, "term", "left_semi").select("term", "items").collect()})
+            yield sorted(rows, key=lambda r: (r[0] is None, r[0], r[1])), figures
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
@@ -205,11 +236,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     schema = "doc_id long, item_id long, score double, overlap double"
     spark, d = docs.sparkSession, common.documents(docs)
     out = None
-    for items in _blocks(benchmark):
-        sent = spark.sparkContext.broadcast(items)
+    for block in _blocks(benchmark):
+        sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
-            index = Index(sent.value, threshold)
+            items, whole = sent.value
+            index = Index(items, threshold, whole)
             for batch in batches:
                 ids, rows = batch.column(0).to_pylist(), []
                 for part in ([] if not index.items else common.chunks(batch)):

@@ -283,6 +283,24 @@ def test_op6_against_scoring_all_pairs(spark, docs):
     assert d.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_op6_blocks_have_no_effect(spark, monkeypatch):
+    from groundspark.llm import decontaminate as d
+
+    rng = random.Random(8)
+    vocab = [f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(2000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(6, 40))) + ".") for i in range(60)]
+    texts = []
+    for i, t in items * 3:  # partial copies, many of them near the threshold
+        w = t.split()
+        texts.append((len(texts), " ".join([rng.choice(vocab) for _ in range(rng.randint(0, 90))] + w[: len(w) - rng.randint(0, len(w) // 4)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9), round(r.overlap, 9)) for r in d.leaks(table, bench).collect())
+    want = found()
+    monkeypatch.setattr(d, "BLOCK_BYTES", 4000)
+    assert found() == want and any(r[2] < 0.9 for r in want)
+
+
 def test_op7_files_hold_the_librarys_ids(spark, docs, tmp_path):
     from groundspark.llm import token_file
 
