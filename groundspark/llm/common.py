@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that separate words.
@@ -59,6 +59,11 @@ def documents(df: DataFrame) -> DataFrame:
     return d.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def row_key() -> Column:
+    """Hash of the text; with doc_id it names a document."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

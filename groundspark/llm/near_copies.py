@@ -1,0 +1,114 @@
+"""Near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more, exactly (a pipeline stage).
+
+A document is the set of its distinct shingle hashes; equal sets are one.  The
+hashes are sorted, and by this order the first n - ceil(0.8 n) + 1 of a set of
+n are its prefix: two sets of similarity 0.8 share a hash in both prefixes.
+Pairs of sets that meet there, and whose sizes, places of the shared hashes and
+number of hashes shared by the prefixes leave room for the overlap, are
+verified on the shingles of their texts.
+
+Groups of sets that share a hash are compared in two rounds: with the
+smallest set of each group, and then all pairs of a group that the first round
+left in different components (the first may miss some, as it counts only
+hashes whose smallest set is the same; the second has them all).  So a group of copies that resemble each other
+costs one pair a member; groups whose members differ cost all pairs that pass
+the bounds.
+
+Different sets or shingles can be taken for equal only if 64-bit hashes
+collide.  Null and empty texts have the empty set and are copies of each other;
+fewer than five words are one shingle.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import common
+from .simhash import components, shingle_hashes
+
+WIDTH = 5
+#: The similarity, as a fraction.
+OVER, UNDER = 4, 5
+
+
+def shingle_set(text: str) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, WIDTH), np.uint64).view(np.int64))
+
+
+def _sets(batches):
+    for b in batches:
+        s, n, prefix = [], [], []
+        for text in common.texts_of(b):
+            x = shingle_set(text)
+            s.append(xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63))
+            n.append(len(x))
+            prefix.append(x[: len(x) - -(-OVER * len(x) // UNDER) + 1])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "h", "s", "n", "prefix"])
+
+
+def _compare(batches):
+    """Pairs (a, b) whose texts (ta, tb) are similar."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(4)]
+        out = []
+        for a, b, ta, tb in zip(*cols, strict=True):
+            if len(held) > 2000:
+                held.clear()
+            for s, t in ((a, ta), (b, tb)):
+                if s not in held:
+                    held[s] = shingle_set(t)
+            both = len(np.intersect1d(held[a], held[b], assume_unique=True))
+            if UNDER * both >= OVER * (len(held[a]) + len(held[b]) - both):
+                out.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _room(a: str, b: str) -> Column:
+    """Whether sets a and b (structs p, s, n; p the place of the shared hash) can have the overlap."""
+    p, q, n, m = F.col(f"{a}.p"), F.col(f"{b}.p"), F.col(f"{a}.n"), F.col(f"{b}.n")
+    most = F.least(p, q) + 1 + F.least(n - p, m - q) - 1
+    return (OVER + UNDER) * most >= OVER * (n + m)
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """doc_id, h (row_key) of the document that stays of each class: the smallest doc_id (null last), then the smallest h."""
+    spark = docs.sparkSession
+    texts = common.documents(docs).select("doc_id", common.row_key().alias("h"), "text")
+    sets = texts.mapInArrow(_sets, "doc_id long, h long, s long, n int, prefix array<long>")
+    who = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("who")
+    reps, _ = common.stored(sets.groupBy("s").agg(who, F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
+
+    by = Window.partitionBy("t")
+    met = reps.select("s", "n", F.posexplode("prefix").alias("p", "t")).select("t", F.struct("s", "n", "p").alias("x"))
+    met = met.select("t", "x", F.min("x").over(by).alias("y"), F.max("x").over(by).alias("z")).where("y.s <> z.s")
+    met, _ = common.stored(met.select("t", "x", "y"), "met")
+
+    common.release(spark)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = pairs.groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.count("*").alias("k"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
+        # k shared hashes of the prefixes; the others can lie only behind the prefix that ends first.
+        most = F.col("k") + F.ceil(F.greatest("n", "m") * OVER / UNDER) - 1
+        pairs, _ = common.stored(pairs.where((OVER + UNDER) * most >= OVER * (F.col("n") + F.col("m"))).select("a", "b"), name + "-pairs")
+        need = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().join(reps.select("s", "who.doc_id", "who.h"), "s")
+        d, e = texts.alias("d"), need.alias("e")
+        own = d.join(e, F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("d.h") == F.col("e.h"))).groupBy("e.s").agg(F.first("d.text").alias("text"))
+        own, _ = common.stored(own, name + "-texts")
+        full = pairs.join(own.toDF("a", "ta"), "a").join(own.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        return common.stored(full.mapInArrow(_compare, "a long, b long"), name)[0]
+
+    links = verified(met.where((F.col("x.s") != F.col("y.s")) & _room("x", "y")), "near")
+    common.release(spark)
+    root = components(links, spark)
+    label = met.select("t", "x").join(root, F.col("x.s") == F.col("node"), "left").select("t", "x", F.coalesce("root", "x.s").alias("root"))
+    apart = label.select("*", F.min("root").over(by).alias("least"), F.max("root").over(by).alias("most")).where("least <> most").select("t", "x", "root")
+    apart, _ = common.stored(apart, "apart")
+    two = apart.join(apart.toDF("t", "y", "root2"), "t").where((F.col("x.s") < F.col("y.s")) & (F.col("root") != F.col("root2")) & _room("x", "y"))
+    root = components(links.union(verified(two, "far")), spark)
+    classes = reps.join(root, reps["s"] == root["node"], "left").groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("who").alias("who"))
+    return classes.select("who.doc_id", "who.h")

@@ -41,6 +41,29 @@ def test_stages_take_effect_and_keep_clean_documents(spark, folder):
     assert sorted(map(tuple, p.run(spark, d).collect())) == sorted(map(tuple, left["bpe"].values()))
 
 
+def test_near_copies_are_all_pairs_of_similarity_0_8(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}v{rng.randint(0, 500)}" for _ in range(rng.randint(60, 160))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = f"n{rng.randint(0, 9999)}"
+            rows.append((len(rows), " ".join(w)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    root = {i: i for i in sets}
+    similar = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in similar:
+            root[a] = root[b] = min(root[a], root[b])
+    got = p.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(root.values()))
+    assert 12 < len(set(root.values())) < 60
+
+
 def test_registered_queries_and_sql_have_equal_names():
     import __spark_entry__ as e
 
