@@ -232,9 +232,10 @@ def _blocks(benchmark: DataFrame):
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """doc_id, item_id, score (BM25 over the item's own), overlap: a row for each item that a document holds."""
-    schema = "doc_id long, item_id long, score double, overlap double"
+    """doc_id, h (row_key), item_id, score (BM25 over the item's own), overlap: a row for each item that a document holds."""
+    schema = "doc_id long, h long, item_id long, score double, overlap double"
     spark, d = docs.sparkSession, common.documents(docs)
+    d = d.select("doc_id", common.row_key().alias("h"), "text")
     out = None
     for block in _blocks(benchmark):
         sent = spark.sparkContext.broadcast(block)
@@ -243,13 +244,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
             items, whole = sent.value
             index = Index(items, threshold, whole)
             for batch in batches:
-                ids, rows = batch.column(0).to_pylist(), []
+                rows = []
                 for part in ([] if not index.items else common.chunks(batch)):
-                    ids = part.column(0).to_pylist()
-                    for i, text in zip(ids, common.texts_of(part), strict=True):
-                        rows += [(i, index.items[k], *v) for k, v in sorted(index.matches(text, overlap).items())]
-                cols = list(zip(*rows, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "score", "overlap"])
+                    keys = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                    for key, text in zip(keys, common.texts_of(part), strict=True):
+                        rows += [(*key, index.items[k], *v) for k, v in sorted(index.matches(text, overlap).items())]
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.float64()] * 2, strict=True)], ["doc_id", "h", "item_id", "score", "overlap"])
 
         one = d.mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)

@@ -64,6 +64,20 @@ def test_near_copies_are_all_pairs_of_similarity_0_8(spark):
     assert 12 < len(set(root.values())) < 60
 
 
+def test_decisions_are_by_row_and_not_by_id(spark, tmp_path):
+    import corpus_pipeline as p
+
+    words = lambda k: " ".join(f"d{k}w{i}" for i in range(60))
+    item = words(99)
+    rows = [(1, words(1), "a"), (1, words(1), "b"), (2, words(2), "a"), (None, words(2), "a"), (None, words(3), "a"), (None, words(4), "a"), (None, words(4), "a"), (5, words(5), "a"), (5, words(6), "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert key(p.near_copies(spark, docs, "")) == sorted([rows[i] for i in (0, 2, 4, 5, 7, 8)], key=repr)
+    leaky = [(None, words(7) + " " + item, "a"), (5, item, "a"), (5, item, "a")]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert key(p.benchmark_leaks(spark, spark.createDataFrame(rows + leaky, docs.schema), str(tmp_path))) == sorted(rows, key=repr)
+
+
 def test_registered_queries_and_sql_have_equal_names():
     import __spark_entry__ as e
 
