@@ -69,9 +69,11 @@ def parts(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only if it names none, as in tests."""
+    """The shared folder that the cluster names; a folder of our own only if it names none and all runs on this machine, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="groundspark-")
         shared_dir.own = found
     return found.rstrip("/")
@@ -93,9 +95,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df cut from its lineage by a Parquet table in the shared folder, and the table's path."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    path, names = new_path(df.sparkSession, name), df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])  # names may clash
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*names), path
 
 
 def release(spark: SparkSession) -> None:

@@ -9,6 +9,16 @@ copies meet as one fingerprint before anything is emitted.  Components come
 from alternating large-star and small-star rounds, each written to the shared
 folder.
 
+Near-duplicates of a stated similarity (:func:`near_duplicates`) lie further
+apart than 2 bits of 64: texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 differ in about 5 to 10.  There each text has TABLES
+fingerprints of 64 bits, and every 32-bit half of one is ball hashed on its own;
+texts that meet in any half are candidates and are verified on their shingles.
+A bucket is compared with one member of it (a star), never pair by pair, and
+buckets that then still hold several components are compared with another
+member, until a round finds no link.  All work is linear in the number of
+emitted variants.
+
 Defined results: a null or empty text, or one without words, has fingerprint
 zero and is linked like any other; fewer than `width` words are one shingle;
 repeated rows share their component; a null doc_id has the smallest id of its
@@ -24,8 +34,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .wordhash import Rolling, WordHashes, mix
 
 WIDTH, SEED = 3, 42
+#: Near-duplicates: words of a shingle, the similarity as a fraction, fingerprints of a text.
+SET_WIDTH, OVER, UNDER, TABLES = 5, 4, 5, 4
+#: Candidates whose other fingerprints differ in more bits are strangers (about 32 of 64 in texts that share nothing).
+STRANGERS = 24
+#: Links beyond which the lookup of a node's least neighbour is a table of its own (the rows don't depend on it).
+MANY_LINKS = 1_000_000
+#: Text of one side of a tile of candidate pairs.
+TILE_BYTES = 4 << 20
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -43,12 +62,12 @@ def shingle_hashes(text: str, width: int = WIDTH) -> list[int]:
     return [h(line[a:b], SEED) for a, b in zip(begin, end, strict=True)]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """Bit k is 1 if it is set in over half of the hashes (0 for none)."""
-    if not hashes:
+    if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
-    h = np.array(hashes, "<u8")
+    h = np.asarray(hashes, "<u8")
     for i in range(0, len(h), 1 << 14):
         part = h[i : i + (1 << 14)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -77,11 +96,12 @@ def ball_links(fps: DataFrame) -> DataFrame:
 def components(links: DataFrame, spark: SparkSession) -> DataFrame:
     """node, root (smallest node reachable) for every node of links (a, b)."""
     edges, path = common.stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    schema = edges.schema
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, many: bool) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))) if large else e
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        if many:  # a table of its own, so that both sides of the join are plain exchanges and Spark can split the rows of a hot root
+            least, _ = common.stored(least, "least")
         j = both.join(least, "a")
         if large:  # neighbours above the node go to the least of its neighbourhood
             return j.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
@@ -92,14 +112,15 @@ def components(links: DataFrame, spark: SparkSession) -> DataFrame:
 
     before = digest(edges)
     while before[0]:
-        out, new = common.stored(star(star(edges, True).distinct(), False).distinct(), "links")
+        many = before[0] > MANY_LINKS
+        out, new = common.stored(star(star(edges, True, many).distinct(), False, many).distinct(), "links")
         after = digest(out)
         common.drop_path(spark, path)
         edges, path = out, new
         if after == before:
             break
         before = after
-    return spark.read.schema(schema).parquet(path).toDF("node", "root")
+    return edges.toDF("node", "root")
 
 
 def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -115,6 +136,136 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return own.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+class Shingles:
+    """The set of a text's five-word shingles as sorted 64-bit hashes."""
+
+    def __init__(self, width: int = SET_WIDTH):
+        self.width, self.hashes, self.rolls = width, WordHashes(), {}
+
+    def __call__(self, text: str) -> np.ndarray:
+        h = self.hashes.of(text.encode().translate(LOWER).split())
+        k = min(self.width, len(h))
+        if not k:
+            return np.empty(0, np.uint64)
+        if k not in self.rolls:
+            self.rolls[k] = Rolling(0x9E3779B97F4A7C15 + 2 * k, k)
+        return np.unique(mix(self.rolls[k].windows(h) + np.uint64(k)))
+
+
+def _sketches(tables: int):
+    """Rows (doc_id, h, s, f): s names the set of shingles, f are the fingerprints, the first of them operator 9's own."""
+
+    def run(batches):
+        sets = Shingles()
+        for b in batches:
+            s, f = [], []
+            for text in common.texts_of(b):
+                s.append(xxhash.xxh64_intdigest(sets(text).tobytes()) - (1 << 63))
+                h = np.array(shingle_hashes(text), np.uint64)
+                f.append(np.array([fingerprint(mix(h + np.uint64(k)) if k else h) for k in range(tables)], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.int64()), pa.array(f, pa.list_(pa.int64()))], ["doc_id", "h", "s", "f"])
+
+    return run
+
+
+def half_balls(reps: DataFrame, tables: int) -> DataFrame:
+    """v, s, f: each half of each fingerprint with at most one bit flipped, and a fingerprint of another table."""
+    halves = []
+    for k in range(2 * tables):
+        own, other = F.element_at("f", k // 2 + 1), F.element_at("f", (k // 2 + 1) % tables + 1)
+        half = F.shiftrightunsigned(own, 32 * (k % 2)).bitwiseAND(0xFFFFFFFF)
+        halves.append(F.struct((half + F.lit(k << 32)).alias("v"), other.alias("f")))
+    one = reps.select("s", F.explode(F.array(*halves)).alias("x"))
+    flips = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda i: F.when(i == 32, F.col("x.v")).otherwise(F.col("x.v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+    return one.select(F.explode(flips).alias("v"), "s", F.col("x.f").alias("f"))
+
+
+def _verify(batches):
+    """Pairs (a, b) of a tile whose texts are similar; a tile's texts (kind 0) come before its pairs."""
+    sets, tile, held = Shingles(), None, {}
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(5)]
+        out = []
+        for t, kind, a, b, text in zip(*cols, strict=True):
+            if t != tile:
+                tile, held = t, {}
+            if kind == 0:
+                held[a] = sets(text)
+                continue
+            x, y = held[a], held[b]
+            if UNDER * min(len(x), len(y)) < OVER * max(len(x), len(y)):
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if UNDER * both >= OVER * (len(x) + len(y) - both):
+                out.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def near_duplicates(docs: DataFrame, tables: int = TABLES) -> DataFrame:
+    """doc_id, h (row_key) of the document that stays of each class: the smallest doc_id (null last), then the smallest h.
+
+    Classes are connected by pairs whose sets of five-word shingles have a
+    Jaccard similarity of 0.8 or more.  Equal sets always meet; others are
+    found if a half of some fingerprint differs in at most two bits (README
+    gives the measured share).  No pair that is less similar is ever linked,
+    but for collisions of 64-bit hashes.
+    """
+    spark = docs.sparkSession
+    texts = common.documents(docs).select("doc_id", common.row_key().alias("h"), "text")
+    rows = texts.mapInArrow(_sketches(tables), "doc_id long, h long, s long, f array<long>")
+    who = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("who")
+    reps, _ = common.stored(rows.groupBy("s").agg(who, F.min("f").alias("f")), "sets")
+
+    def centre(salt: int, *more: str):
+        return F.min(F.struct(F.xxhash64(F.lit(salt), "s", "v").alias("o"), "s", "f", *more)).alias("y")
+
+    balls = half_balls(reps, tables)
+    shared = balls.groupBy("v").agg(centre(0), F.count("*").alias("n")).where("n > 1").select("v", "y")
+    met, _ = common.stored(balls.join(shared, "v"), "met")  # the rows of buckets with several members
+    links = root = tested = None
+    salt = 0
+    while True:
+        pairs = met.where((F.col("s") != F.col("y.s")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("y.f"))) <= STRANGERS))
+        pairs = pairs.select(F.least("s", "y.s").alias("a"), F.greatest("s", "y.s").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs, _ = common.stored(pairs, "pairs")
+        found = _similar(pairs, reps, texts)
+        if root is not None and found.isEmpty():
+            break
+        tested = pairs if tested is None else tested.union(pairs)
+        links = found if links is None else links.union(found)
+        root = components(links, spark)
+        # Buckets that hold several components get another centre.
+        salt += 1
+        label = met.select("v", "s", "f").join(root, F.col("s") == F.col("node"), "left").select("v", "s", "f", F.coalesce("root", "s").alias("root"))
+        label, _ = common.stored(label, "label")
+        apart = label.groupBy("v").agg(centre(salt, "root"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("v", "y")
+        met, _ = common.stored(label.join(apart, "v").where((F.col("root") != F.col("y.root")) | (F.col("s") == F.col("y.s"))).select("v", "s", "f", "y"), "met")
+        common.release(spark)
+    classes = reps.join(root, reps["s"] == root["node"], "left").groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("who").alias("who"))
+    return classes.select("who.doc_id", "who.h")
+
+
+def _similar(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity is high enough.
+
+    Pairs are dealt into tiles by hashes of both sides, so a text that is in
+    many pairs is sent once to each tile that needs it, not once for each pair.
+    """
+    spark = pairs.sparkSession
+    need = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().join(reps.select("s", "who.doc_id", "who.h"), "s")
+    d, e = texts.alias("d"), need.alias("e")
+    own = d.join(e, F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("d.h") == F.col("e.h"))).groupBy("e.s").agg(F.first("d.text").alias("text"))
+    own, _ = common.stored(own, "texts")
+    k = max(1, -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TILE_BYTES))
+    tile = F.pmod(F.xxhash64("a"), F.lit(k)) * k + F.pmod(F.xxhash64("b"), F.lit(k))
+    dealt = pairs.select(tile.alias("t"), "a", "b")
+    sent = dealt.select("t", F.explode(F.array("a", "b")).alias("s")).distinct().join(own, "s").select("t", F.lit(0).alias("kind"), F.col("s").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    both = sent.union(dealt.select("t", F.lit(1), "a", "b", F.lit(None).cast("string"))).repartition("t").sortWithinPartitions("t", "kind")
+    return common.stored(both.mapInArrow(_verify, "a long, b long"), "links")[0]
+
+
 def hex_bits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
