@@ -2,9 +2,12 @@
 
 import os
 import random
+import sys
 
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 
 @pytest.fixture()
 def folder(spark, tmp_path):
@@ -41,7 +44,87 @@ def test_stages_take_effect_and_keep_clean_documents(spark, folder):
     assert sorted(map(tuple, p.run(spark, d).collect())) == sorted(map(tuple, left["bpe"].values()))
 
 
-def test_near_copies_are_all_pairs_of_similarity_0_8(spark):
+def crowded(seed=6):
+    """Documents for every stage: junk, shared lines, copies and near copies, leaks, null ids and texts, repeated rows."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(4000)]
+    words = lambda n: [rng.choice(vocab) for _ in range(n)]
+    lines = ["This long line stands in many of the documents " + " ".join(words(4)) for _ in range(3)]
+    items = [(k, " ".join(words(12)) + "? " + " ".join(words(6)) + ".") for k in range(8)] + [(9, None), (10, "")]
+    rows = []
+    for i in range(90):
+        w = words(rng.randint(20, 160) if i % 6 else rng.randint(120, 260))
+        if i % 9 == 0:
+            w[5:5] = items[i % 8][1].split()
+        if i % 11 == 0:
+            w += w[:40] * 2
+        text = " ".join(w)
+        for line in rng.sample(lines, rng.randint(0, 2)):
+            text += "\n" + rng.choice([line, line.upper(), " " + line])
+        rows.append((i, text))
+        if i % 6 == 0:
+            for _ in range(3):
+                v = text.split(" ")
+                v[rng.randrange(len(v))] = "other"
+                rows.append((200 + len(rows), " ".join(v)))
+    rows += [(None, rows[4][1]), (None, " ".join(words(70))), (None, " ".join(words(70))), (None, None), (500, None), (501, ""), (7, rows[9][1]), (7, " ".join(words(90))), rows[12], rows[12]]
+    return rows, items
+
+
+def test_every_stage_and_run_against_brute_force(spark, tmp_path):
+    """run() and each of its stages against plain Python over the rows that the stage before kept; extra columns pass through."""
+    import brute
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+    from groundspark.llm import bpe
+
+    rows, items = crowded()
+    rows = [(i, t, f"s{k}", None if t is None else len(t)) for k, (i, t) in enumerate(rows)]
+    rows[-1] = rows[-2]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda x: sorted(map(tuple, x), key=repr)
+
+    want = [[r for r in rows if brute.good(r[1])]]
+    texts = brute.without_shared_lines(want[-1])
+    want.append([(r[0], t, r[2], len(t)) for r, t in zip(want[-1], texts)])
+    want.append(brute.one_of_each(want[-1]))
+    leaks = brute.leaks(want[-1], items)
+    want.append([r for r in want[-1] if (r[0], r[1]) not in leaks])
+    tok = Tokenizer.from_file(bpe.default_tokenizer())
+    want.append([(r[0], *brute.encoded(tok, r[1])) for r in want[-1]])
+    assert len(rows) > len(want[0]) > len(want[2]) > len(want[3]) > 40 and want[0] != want[1]
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (name, stage), rows_wanted in zip(p.STAGES, want, strict=True):
+        docs, _ = p.common.stored(stage(spark, docs, str(tmp_path)), "t")
+        assert key(docs.collect()) == key(rows_wanted), name
+    assert key(p.run(spark, str(tmp_path)).collect()) == key(want[-1])
+
+
+def test_stages_pass_clashing_columns_through_and_take_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["Doc_ID", "TEXT", "a.b", "doc_id", "text", "h", "row", "shard", "_id"]
+    text = " ".join(f"v{i}" for i in range(60))
+    whole = spark.createDataFrame([("x", "y", 1, 5, text, 2, 3, 4, 6), ("x", "y", 1, 6, text + " more", 2, 3, 4, 6)], "a string, b string, c int, d long, e string, f int, g int, i int, j int").toDF(*names)
+    for docs, n in ((whole, 1), (whole.limit(0), 0)):
+        for name, stage in p.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "bpe":
+                assert out.columns == names
+                docs, _ = p.common.stored(out, "t")
+        got = docs.collect()
+        assert [tuple(r) for r in got] == [("x", "y", 1, 5, text, 2, 3, 4, 6)][:n]
+        assert out.count() == n
+
+
+def test_near_copies_of_similarity_0_8(spark):
+    """Groups of near copies: the classes of all pairs of similarity 0.8, and never a pair below it."""
+    import brute
+
     import corpus_pipeline as p
 
     rng = random.Random(4)
@@ -53,15 +136,9 @@ def test_near_copies_are_all_pairs_of_similarity_0_8(spark):
             for _ in range(rng.randint(0, 4)):
                 w[rng.randrange(len(w))] = f"n{rng.randint(0, 9999)}"
             rows.append((len(rows), " ".join(w)))
-    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
-    root = {i: i for i in sets}
-    similar = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    for _ in sets:
-        for a, b in similar:
-            root[a] = root[b] = min(root[a], root[b])
-    got = p.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
-    assert sorted(r.doc_id for r in got.collect()) == sorted(set(root.values()))
-    assert 12 < len(set(root.values())) < 60
+    got = {r.doc_id for r in p.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()}
+    want = {r[0] for r in brute.one_of_each(rows)}
+    assert want <= got and len(got) <= len(want) + 2 and 12 < len(want) < 60
 
 
 def test_decisions_are_by_row_and_not_by_id(spark, tmp_path):
