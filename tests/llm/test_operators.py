@@ -124,21 +124,41 @@ def test_op1_equal_windows_have_equal_anchors():
         assert (x[30 : 30 + 31] == y[:31]).all()
 
 
-def test_op2_law_and_uniformity(docs):
-    from groundspark.llm import common, sharding
-
-    d = common.documents(docs)
-    from pyspark.sql import functions as F
+def test_op2_law_slots_and_digests(spark, tmp_path):
+    """The registered query against digests from the texts; shards differ by one row, slots have no gap, partitions have no effect."""
+    from groundspark.llm import sharding
 
-    slim = d.select("doc_id", (F.octet_length("text") + 1).alias("size"), F.crc32("text").alias("text_crc32"))
-    got = sharding.shard_rows(slim, ["doc_id", "size", "text_crc32"], 7).collect()
+    spark.createDataFrame([(i, t, "x") for i, t in corpus()], "doc_id long, text string, shard string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op2_sharding(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in got), key=repr) == sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows", None) for i, t in corpus()), key=repr)
     sizes = Counter(r.shard for r in got)
-    assert len(got) == len(corpus()) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
     for s, n in sizes.items():
         assert sorted(r.slot for r in got if r.shard == s) == list(range(n))
-    assert {(r.doc_id, r.text_crc32) for r in got} == {(i, zlib.crc32((t or "").encode())) for i, t in corpus()}
-    again = sharding.shard_rows(slim.repartition(2), ["doc_id", "size", "text_crc32"], 7).collect()
-    assert Counter((r.doc_id, r.shard) for r in again) == Counter((r.doc_id, r.shard) for r in got)
+    df = spark.createDataFrame([(i, "x", "y") for i, _ in corpus()], "i long, shard string, slot string")
+    one, two = (sharding.shard_rows(d, 7) for d in (df.repartition(1), df.repartition(6)))
+    assert one.columns == ["i", "shard", "slot", "shard", "slot"]
+    assert rows_of(one) == rows_of(two)
+
+
+def test_op2_equal_rows_are_shuffled_on_their_own(spark, monkeypatch):
+    """500 rows, 40 times each, and one row 5,000 times: the copies reach as many shards and places as under a uniform shuffle."""
+    from groundspark.llm import sharding
+
+    monkeypatch.setattr(sharding, "PIECE", 64)  # several pieces of a group
+    rows = [(i,) for i in range(500) for _ in range(40)] + [(-1,)] * 5000
+    got = sharding.shard_rows(spark.createDataFrame(rows, "i long").repartition(5), 16).collect()
+    assert Counter(r.i for r in got) == Counter(i for (i,) in rows)
+    reached = {}
+    for r in got:
+        reached.setdefault(r.i, set()).add(r.shard)
+    mean = sum(len(reached[i]) for i in range(500)) / 500
+    assert abs(mean - 16 * (1 - (15 / 16) ** 40)) < 0.15
+    # Places of the hot row: chi-square over shards and over tenths of a shard (99.9 % bounds of 15 and 9 degrees of freedom).
+    size = max(r.slot for r in got) + 1
+    for cells, bound in ((Counter(r.shard for r in got if r.i == -1), 37.7), (Counter(10 * r.slot // size for r in got if r.i == -1), 27.9)):
+        k, e = len(cells), 5000 / len(cells)
+        assert k in (10, 16) and sum((c - e) ** 2 / e for c in cells.values()) < bound
 
 
 def test_op2_matrix_is_exact_and_its_margins_hold():
@@ -149,15 +169,13 @@ def test_op2_matrix_is_exact_and_its_margins_hold():
     rows = [7, 0, 31, 5, 100]
     m = sharding.matrix(rows, 4, 1)
     assert [sum(r) for r in m] == rows and [sum(c) for c in zip(*m)] == [36, 36, 36, 35]
-    # The generator for huge counts agrees with the small one's distribution.
     rng = np.random.default_rng(3)
-    old, sharding.NUMPY_ROWS = sharding.NUMPY_ROWS, 1
-    try:
-        big = np.array([sharding.hypergeometric(rng, 40, 60, 30) for _ in range(4000)])
-    finally:
-        sharding.NUMPY_ROWS = old
-    ref = rng.hypergeometric(40, 60, 30, 4000)
-    assert abs(big.mean() - ref.mean()) < 0.15 and abs(big.std() - ref.std()) < 0.15
+    for good, bad, n in ((40, 60, 30), (3, 5, 4), (900, 100, 500)):
+        ours = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(4000)])
+        ref = rng.hypergeometric(good, bad, n, 4000)
+        assert abs(ours.mean() - ref.mean()) < 0.1 * ref.std() and abs(ours.std() / ref.std() - 1) < 0.08
+    big = np.array([sharding.hypergeometric(rng, 10**10, 3 * 10**10, 10**7) for _ in range(500)])
+    assert abs(big.mean() - 2.5e6) < 300 and abs(big.std() / (10**7 * 3 / 16) ** 0.5 - 1) < 0.15
 
 
 def test_op3_against_brute_force(docs):
@@ -431,7 +449,7 @@ def test_empty_tables(spark, empty):
     from groundspark.llm import bpe, common, decontaminate, html_text, line_dedup, quality, sharding, simhash, substring_dedup, token_counts, token_file
 
     assert substring_dedup.remove_repeats(empty).count() == 0
-    assert sharding.shard_rows(empty, ["doc_id"]).count() == 0
+    assert sharding.shard_rows(empty).count() == 0
     assert line_dedup.line_dedup(empty).count() == 0
     assert token_counts.token_counts(empty, fields=("text",)).count() == 0
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
