@@ -1,19 +1,25 @@
 """Main text of web pages by a linear-chain conditional random field (operator 5).
 
-A page is cut into leaf blocks: runs of text between block-level tags.  Each
-block has features of its ancestors' tags, of words in their class, id and
-role, and of its text.  A two-label chain (text, other) is fitted on the
-driver by conditional likelihood and decoded with Viterbi on the workers.
+A page is cut into leaf blocks: runs of text between block-level tags, by a
+scanner that goes over the page once.  Each block has features of its
+ancestors' tags, of words in their class, id and role, and of its text.  A
+two-label chain (text, other) is fitted on the driver by conditional likelihood
+and decoded with Viterbi on the workers.
 
 The labelled pages are written by `labelled_page`: random sites with menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments around
 and inside articles of random words, so that every block's label is known.
-The training set is TRAIN_PAGES such pages, whatever the corpus holds.
+Sites name their boxes by words that the features know, by words they don't
+know, or not at all.  The training set is TRAIN_PAGES such pages, whatever the
+corpus holds.
 
 Defined results: a null or empty page, and one without text blocks, gives the
-empty string; scripts, styles and comments never hold text; unclosed tags end
-with their parent; repeated rows give equal texts; a null page_id or url is
-kept.
+empty string; comments, scripts, styles, elements whose content is no text of
+the page (DROPPED), and elements marked hidden or display:none never hold text;
+a self-closed one of these is empty, and one that is never closed hides
+nothing; unclosed tags end with their parent; a quoted value that is never
+closed ends with its tag; repeated rows give equal texts; a null page_id or url
+is kept.
 """
 
 from __future__ import annotations
@@ -29,15 +35,19 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TRAIN_PAGES, EPOCHS, L2 = 500, 250, 0.0001
+TRAIN_PAGES, EPOCHS, L2 = 700, 250, 0.0001
 
 #: Fixed values of HTML: tags that don't break a line of text, and tags without content.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that close an open tag of the named kinds.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-SKIPPED = "script|style|noscript|template|textarea|svg|iframe|object|title"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: Elements whose content is no text of the page, and HTML tags that can't stand in a drawing or formula.
+DROPPED = frozenset("script style title noscript template textarea svg math iframe object canvas audio video select button datalist".split())
+BREAKOUT = re.compile(r"<(?:article|blockquote|body|br|center|dd|div|dl|dt|footer|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|ul)[\s/>]", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?=[\s/=]|$)|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+DIGIT = re.compile(r"\d")
 MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -68,6 +78,20 @@ FEATURES = {
 }
 
 
+#: Words of a short block that tell what it is for.
+CUES = {
+    "talk": "comment comments reply replies said says wrote commented reader readers",
+    "form": "subscribe newsletter email login register password submit",
+    "notice": "cookies cookie privacy consent accept",
+    "ad": "advertisement sponsored promoted advert",
+    "foot": "copyright rights reserved terms imprint",
+    "side": "related popular trending recommended",
+    "share": "share tweet follow print",
+}
+CUE_OF = {w: k for k, ws in CUES.items() for w in ws.split()}
+FEATURES |= {f"cue:{k}": len(FEATURES) + i for i, k in enumerate(CUES)}
+
+
 def kinds(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
         return ()
@@ -75,13 +99,80 @@ def kinds(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
-def blocks(page: str) -> list[tuple[str, int, tuple[tuple[str, tuple[str, ...]], ...]]]:
-    """(text, characters of it in links, ancestors (tag, kinds) from the root) of each leaf block."""
+class Page:
+    """Goes over a page's tags from left to right; every look ahead is remembered, so the work grows with the page's length."""
+
+    def __init__(self, html_text: str):
+        self.html, self.plain = html_text, False
+        self.ahead: dict[str, tuple[re.Pattern, int]] = {}
+
+    def next(self, what: str, at: int) -> int:
+        """Where the opening or closing tag `what` ('<svg', '</svg') next begins; the page's length if nowhere."""
+        pattern, place = self.ahead.get(what) or (re.compile(re.escape(what) + r"(?=[\s/>])", re.I), -1)
+        if place < at:
+            m = pattern.search(self.html, at)
+            place = m.start() if m else len(self.html)
+            self.ahead[what] = (pattern, place)
+        return place
+
+    def find(self, mark: str, at: int) -> int:
+        """The same for a fixed string."""
+        place = self.ahead.get(mark, (None, -1))[1]
+        if place < at:
+            place = self.html.find(mark, at)
+            place = len(self.html) if place < 0 else place
+            self.ahead[mark] = (None, place)
+        return place
+
+    def end_of_tag(self, at: int) -> int:
+        """The place of the > that ends the tag whose attributes begin at `at`; quoted values may hold one."""
+        size = len(self.html)
+        start = at
+        while not self.plain:
+            stop = self.find(">", at)
+            if stop == size:
+                break
+            mark = min(self.find('"', at), self.find("'", at))
+            if mark > stop:
+                return stop
+            before = self.html[max(start, mark - 8) : mark].rstrip()
+            if not before.endswith("="):  # a stray quote
+                at = mark + 1
+                continue
+            shut = self.find(self.html[mark], mark + 1)
+            if shut == size:  # never closed: from here on quotes mean nothing
+                self.plain = True
+                break
+            at = shut + 1
+        return self.find(">", start)
+
+    def end_of_dropped(self, name: str, at: int) -> int | None:
+        """Where the content of a dropped element that begins at `at` ends; None if it is never closed."""
+        shut = self.next("</" + name, at)
+        if shut == len(self.html):
+            return None
+        if name not in ("script", "style", "template", "object") and self.next("<" + name, at) < shut:
+            return None  # another one begins before
+        if name in ("svg", "math") and BREAKOUT.search(self.html, at, shut):
+            return None
+        return shut
+
+
+def blocks(page: str) -> list[tuple[str, int, tuple]]:
+    """(text, characters of it in links, what its ancestors tell) of each leaf block.
+
+    The last part is (features of all ancestors, tag, its kinds, its parent's kinds, whether it is deep).
+    """
     out = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # Open elements: (features of it and its ancestors, tag, kinds, parent's kinds, deep)
+    top: tuple = (frozenset(), "", (), (), False)
+    stack = [top]
+    count: dict[str, int] = {}
+    known: dict[tuple, frozenset] = {}
     parts: list[str] = []
     linked = links = 0  # characters in links, open links
-    where: tuple = ()
+    hidden: tuple[str, dict[str, int]] | None = None  # tag, how often each tag is open inside
+    where = top
 
     def flush() -> None:
         nonlocal parts, linked
@@ -97,42 +188,109 @@ def blocks(page: str) -> list[tuple[str, int, tuple[tuple[str, tuple[str, ...]],
         if not parts:
             if not text.strip():
                 return
-            where = tuple(stack)
+            where = stack[-1]
         parts.append(text)
         if links:
             linked += len(text)
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    def pop() -> None:
+        count[stack.pop()[1]] -= 1
+
+    def push(tag: str, own: tuple[str, ...]) -> None:
+        above = stack[-1]
+        key = (above[0], tag, own)
+        if (all_of := known.get(key)) is None:
+            all_of = known[key] = above[0] | {FEATURES[n] for n in (f"in:{tag}", *(f"is:{k}" for k in own)) if n in FEATURES}
+        stack.append((all_of, tag, own, above[2], len(stack) > 8))
+        count[tag] = count.get(tag, 0) + 1
+
+    reader = Page(page)
+    at, size = 0, len(page)
+    text_from = 0
+
+    def text_until(end: int) -> None:
+        if end > text_from and hidden is None:
+            add(page[text_from:end])
+
+    while at < size:
+        at = page.find("<", at)
+        if at < 0:
+            break
+        if page.startswith("<!--", at):
+            text_until(at)
+            shut = reader.find("-->", at + 4) if not page.startswith("<!-->", at) else at + 2
+            at = shut + 3 if shut < size else min(size, reader.find(">", at) + 1)
+            text_from = at
+            continue
+        if page.startswith(("<!", "<?"), at):
+            text_until(at)
+            at = text_from = min(size, reader.find(">", at) + 1)
+            continue
+        closing = page.startswith("</", at)
+        m = NAME.match(page, at + 1 + closing)
+        if not m:
+            if closing:  # a comment by the rules of HTML
+                text_until(at)
+                at = text_from = min(size, reader.find(">", at) + 1)
+            else:
+                at += 1
+            continue
+        stop = reader.end_of_tag(m.end())
+        if stop >= size:  # no tag any more
+            break
+        text_until(at)
+        tag, attributes = m[0].lower(), page[m.end() : stop]
+        at = text_from = stop + 1
+        if hidden is not None:
+            name, inside = hidden
+            if closing:
+                if inside.get(tag):
+                    inside[tag] -= 1
+                    if tag == name and not inside[tag]:
+                        hidden = None
+                    continue
+                if not count.get(tag):
+                    continue
+                hidden = None  # its parent ends
+            elif tag not in INLINE and (name == "p" or name == tag == "li"):
+                hidden = None  # ended by the tag that follows
+            else:
+                if tag in DROPPED and not attributes.endswith("/") and (shut := reader.end_of_dropped(tag, at)) is not None:
+                    at = text_from = shut
+                elif tag not in VOID and tag not in DROPPED and not attributes.endswith("/"):
+                    inside[tag] = inside.get(tag, 0) + 1
+                continue
+        if tag in DROPPED:
+            if not closing and not attributes.endswith("/") and (shut := reader.end_of_dropped(tag, at)) is not None:
+                at = text_from = shut
+            continue
+        if not closing and tag not in VOID and not attributes.endswith("/") and attributes and HIDDEN.search(attributes):
+            if tag not in INLINE:
+                flush()
+            hidden = (tag, {tag: 1})
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                links = max(0, links - 1) if m[2] else 1
+                links = max(0, links - 1) if closing else 1
             elif tag == "br":
                 add(" ")
             continue
         flush()
-        if m[2]:
-            names = [t for t, _ in stack]
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
+        if closing:
+            if count.get(tag):
+                while stack[-1][1] != tag:
+                    pop()
+                pop()
                 links = 0
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
+        if stack[-1][1] == "p":
+            pop()
         for other in CLOSES.get(tag, ()):
-            if stack and stack[-1][0] == other:
-                stack.pop()
-        if tag not in VOID and not m[4].endswith("/"):
-            stack.append((tag, kinds(m[4])))
-    if at < len(page):
-        add(page[at:])
+            if stack[-1][1] == other:
+                pop()
+        if tag not in VOID and not attributes.endswith("/"):
+            push(tag, kinds(attributes))
+    text_until(size)
     flush()
     return out
 
@@ -143,9 +301,9 @@ def features(found: list) -> list[list[int]]:
     cache: dict[tuple, list[int]] = {}
     for k, (text, linked, path) in enumerate(found):
         if (base := cache.get(path)) is None:
-            tags = {t for t, _ in path}
-            names = [f"in:{t}" for t in tags] + [f"leaf:{t}" for t, _ in path[-1:]] + [f"is:{x}" for _, ks in path for x in ks] + [f"near:{x}" for _, ks in path[-2:] for x in ks] + ["deep"] * (len(path) > 8)
-            base = cache[path] = sorted({f[n] for n in names if n in f})
+            above, tag, own, parents, deep = path
+            names = [f"leaf:{tag}", *(f"near:{x}" for x in own + parents), *["deep"] * deep]
+            base = cache[path] = sorted(above | {f[n] for n in names if n in f})
         words = text.count(" ") + 1
         share = linked / len(text)
         one = [f["bias"], f["short" if words < 6 else "medium" if words < 20 else "long"], f["links0" if share < 0.05 else "links1" if share < 0.5 else "links2"], *base]
@@ -157,8 +315,10 @@ def features(found: list) -> list[list[int]]:
             one.append(f["comma"])
         if "©" in text:
             one.append(f["rights"])
-        if any(c.isdigit() for c in text[:200]):
+        if DIGIT.search(text):
             one.append(f["digits"])
+        if words < 20:
+            one += sorted({f["cue:" + CUE_OF[w]] for x in text.lower().split() if (w := x.strip(".,:;!?()")) in CUE_OF})
         out.append(one)
     return out
 
@@ -224,8 +384,12 @@ class Chain:
         return cls(w.tolist(), t.tolist())
 
 
-def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
-    """A random page and the label of each of its leaf blocks (True: main text)."""
+def labelled_page(rng: random.Random, names: str | None = None) -> tuple[str, list[bool]]:
+    """A random page and the label of each of its leaf blocks (True: main text).
+
+    names: boxes have `known` names, `other` names or `no` names; by default a site is of any kind.
+    """
+    names = names or rng.choice(["known", "known", "known", "other", "no"])
     out: list[str] = []
     labels: list[bool] = []
     letters = "aeioubcdfghlmnprst"
@@ -239,12 +403,20 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
         out.append(f"<{tag}{attributes}>{text}" + (f"</{tag}>" if tag != "p" or rng.random() < 0.8 else ""))
 
     def named(kind: str, plain: float = 0.25) -> str:
-        if rng.random() < plain:
+        if names == "no" or rng.random() < plain:
             return ""
-        name = rng.choice(KINDS[kind].split())
+        name = rng.choice(KINDS[kind].split()) if names == "known" else "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
         name = rng.choice([name, f"site-{name}", f"{name}-box", f"{name} wide", f"my{name.capitalize()}"])
         return f' {rng.choice(["class", "class", "id"])}="{name}"'
 
+    def cued(kind: str, text: str) -> str:
+        """Sites say what a box is for, and must where no name tells it."""
+        if rng.random() < (0.4 if names == "known" else 0.9):
+            w = text.split(" ")
+            w[rng.randrange(len(w))] = rng.choice(CUES[kind].split()).capitalize()
+            return " ".join(w)
+        return text
+
     def link(text: str) -> str:
         return f'<a href="/{rng.randint(1, 999)}">{text}</a>'
 
@@ -270,7 +442,8 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
         return make
 
     def lone(kind: str, tag: str = "div") -> None:
-        block(tag, (words(3, 14) + ".") if rng.random() < 0.7 else link(words(2, 5)), False, named(kind, 0))
+        text = cued(kind, words(3, 14)) if kind in CUES else words(3, 14)
+        block(tag, (text + ".") if rng.random() < 0.7 else link(text), False, named(kind, 0))
 
     def foot() -> None:
         boxed("foot", ["footer", "footer", "div"], 0.6, lambda: block("p", f"&copy; {rng.randint(1999, 2030)} {words(1, 8)}", False) if rng.random() < 0.6 else lines()())
@@ -278,19 +451,21 @@ def labelled_page(rng: random.Random) -> tuple[str, list[bool]]:
     def form() -> None:
         out.append(f"<form{named('form', 0.4)}>")
         for _ in range(rng.randint(1, 3)):
-            block("p", words(1, 10), False)
-        out.append("<input name='q'></form>")
+            block("p", cued("form", words(1, 10)), False)
+        out.append("<input name='q'>" + f"<button>{words(1, 2)}</button>" * (rng.random() < 0.5) + "</form>")
 
     def talk() -> None:
         def make() -> None:
-            block("h3", words(1, 3), False)
+            block("h3", cued("talk", words(1, 3)), False)
             for _ in range(rng.randint(1, 4)):
+                if rng.random() < 0.3:
+                    block("p", cued("talk", words(1, 3)) + f" {rng.randint(1, 28)}.", False)
                 block(rng.choice(["p", "div"]), words(4, 45) + ".", False, named("talk", 0.5))
 
         boxed("talk", ["section", "div", "ol"], 0, make)
 
     def side() -> None:
-        boxed("side", ["aside", "aside", "div"], 0.4, lambda: (block("h4", words(1, 4), False), lines(1, 4)()))
+        boxed("side", ["aside", "aside", "div"], 0.4, lambda: (block("h4", cued("side", words(1, 4)), False), lines(1, 4)()))
 
     def extras() -> None:
         if rng.random() < 0.7:
