@@ -40,8 +40,8 @@ UNIT = re.compile(rf" ?[{LETTERS}]+(?=[{SPACE}!-/:-@\[-`{{-~]|\Z)| ?[^{SPACE}]+|
 ONE_WORD = re.compile(rf" ?[{LETTERS}]+")
 #: Fixed pattern of the tokenizer (contractions, letters, numbers, others, white space).
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Bounds of the lexicon: documents sampled, bytes of a sampled document, least count, most words.
-SAMPLE_DOCS, SAMPLE_BYTES, LEAST_COUNT, MOST_WORDS = 2000, 16_384, 4, 60_000
+#: The lexicon: least count of a word, most words, most characters of a word; units that a worker counts at a time.
+LEAST_COUNT, MOST_WORDS, MOST_CHARS, COUNTED = 4, 60_000, 64, 300_000
 #: Longer words are merged one by one with a heap.
 LOCKSTEP = 48
 #: New units that the library encodes as one string.
@@ -428,20 +428,38 @@ def kept_encoder(key: tuple, build) -> UnitEncoder:
     return _KEPT[key]
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: how often each word of the tokenizer's pattern (up to MOST_CHARS characters) occurs in all documents."""
+
+    def rows(units: Counter) -> pa.RecordBatch:
+        count: Counter = Counter()
+        for unit, n in units.items():
+            for w in WORD.findall(unit) if ONE_WORD.fullmatch(unit) is None else (unit,):
+                if len(w) <= MOST_CHARS:
+                    count[w] += n
+        return pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], ["word", "n"])
+
+    def run(batches):
+        units: Counter = Counter()
+        for batch in batches:
+            for text in common.texts_of(batch):
+                units.update(UNIT.findall(text))
+                if len(units) > COUNTED:
+                    yield rows(units)
+                    units = Counter()
+        yield rows(units)
+
+    return common.documents(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary) -> bytes:
-    """Transducer of the vocabulary's own words and of the frequent words of a bounded sample.
+    """Transducer of the vocabulary's own words and of the words that are most frequent in all documents.
 
-    The sample is the SAMPLE_DOCS documents of at most SAMPLE_BYTES bytes with
-    the smallest hash.  It decides only which words are looked up
-    instead of merged, never a result.
+    It decides only which words are looked up instead of merged, never a
+    result; MOST_WORDS bounds what reaches the driver and is sent to workers.
     """
-    d = common.documents(docs).where(F.octet_length("text") <= SAMPLE_BYTES).withColumn("h", F.xxhash64("doc_id", "text"))
-    least = d.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # only hashes move
-    texts = [] if least is None else [r.text for r in d.where(F.col("h") <= least).select("h", "text").distinct().select("text").collect()]  # at most SAMPLE_DOCS
-    count: Counter = Counter()
-    for t in texts:
-        count.update(w for u in UNIT.findall(t) for w in WORD.findall(u))
-    words = [w.encode() for w, n in count.most_common(MOST_WORDS // 2) if n >= LEAST_COUNT]
+    top = word_counts(docs).where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(MOST_WORDS // 2)
+    words = [r.word.encode() for r in top.collect()]  # at most MOST_WORDS / 2
     own = [b for b in vocabulary.bytes if b and len(b) <= 32][: MOST_WORDS // 2]
     words = list({w: 1 for w in words + own})
     return Transducer.compile(words, *vocabulary.merge(words))

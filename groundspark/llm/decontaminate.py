@@ -18,8 +18,8 @@ passage, and so must the answer (the last sentence; with one sentence, the
 question is the whole item).  A part of fewer than five words is one shingle.
 
 The benchmark is collected in blocks of at most BLOCK_BYTES of text, and each
-block's index is sent to the workers; the documents are read once for each
-block.  Document frequencies, mean length and the longest item are counted
+block is sent to the workers, which build its index once a process; the
+documents are read once for each block.  Document frequencies, mean length and the longest item are counted
 over the whole benchmark, so the number of blocks has no effect on results.
 
 Defined results: null or empty documents and items match nothing, nor do
@@ -32,6 +32,7 @@ from __future__ import annotations
 import bisect
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -231,6 +232,17 @@ def _blocks(benchmark: DataFrame):
             yield sorted(rows, key=lambda r: (r[0] is None, r[0], r[1])), figures
 
 
+_KEPT: dict[str, Index] = {}
+
+
+def _kept_index(name: str, build) -> Index:
+    """One index for each worker process, so that later tasks of a block find it."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = build()
+    return _KEPT[name]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """doc_id, h (row_key), item_id, score (BM25 over the item's own), overlap: a row for each item that a document holds."""
     schema = "doc_id long, h long, item_id long, score double, overlap double"
@@ -240,9 +252,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     for block in _blocks(benchmark):
         sent = spark.sparkContext.broadcast(block)
 
-        def run(batches, sent=sent):
-            items, whole = sent.value
-            index = Index(items, threshold, whole)
+        def run(batches, sent=sent, name=uuid.uuid4().hex):
+            index = _kept_index(name, lambda: Index(*sent.value[:1], threshold, *sent.value[1:]))
             for batch in batches:
                 rows = []
                 for part in ([] if not index.items else common.chunks(batch)):

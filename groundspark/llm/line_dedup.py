@@ -3,7 +3,7 @@
 Defined results: a null or empty text is one empty line.  A line's key is the
 line without the white space at both ends and with A-Z in lower case; shorter
 keys than `min_chars` never go.  Documents are counted by distinct doc_id (a
-null counts as one that sorts first).  Rows with equal doc_id and text get the
+null counts as the least long).  Rows with equal doc_id and text get the
 same result; rows with equal doc_id and different texts count as one document
 and each keeps the places of its own lines.
 """

@@ -49,7 +49,7 @@ def longest_repeats(key: np.ndarray) -> np.ndarray:
 
     rank = np.empty(n, np.int64)
     rank[sa] = ranked(sa, head, np.arange(n))
-    levels, k = [rank.copy()], 1
+    levels, k = [rank.astype(np.int32)], 1  # one word in four bytes a level, for at most log2 of the longest repeat levels
     # In play: suffixes in groups of two or more, by their places in the array.
     tail = np.r_[head[1:], True]
     at = np.flatnonzero(~(head & tail))
@@ -64,7 +64,7 @@ def longest_repeats(key: np.ndarray) -> np.ndarray:
         sa[at] = own
         rank[own] = ranked(own, head, at)
         k *= 2
-        levels.append(rank.copy())
+        levels.append(rank.astype(np.int32))
         tail = np.r_[head[1:], True]
         at = at[~(head & tail)]
     # Longest common prefix of neighbours with an equal first symbol, from the largest power of two down.

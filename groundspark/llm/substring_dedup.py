@@ -31,8 +31,8 @@ correctness.
 Defined results: a null or empty text has no words; texts shorter than a
 window lose nothing unless covered (they can't be); rows with equal doc_id and
 text are one document; of rows with equal doc_id and different texts, equal
-windows at one place count as neither earlier; a null doc_id is smaller than
-all others; an empty table gives no rows.
+windows at one place count as neither earlier; a null doc_id counts as the
+least long; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ from .wordhash import Rolling, WordHashes, mix
 WIDTH, ROUNDS = 20, 4
 #: Rows that a worker reduces together.
 CHUNK_ROWS = 400_000
+#: Text that a worker parses at a time.
+PART_BYTES = common.CHUNK_BYTES
 ROOT = np.uint64(63)  # length code of a whole document's name
 LEAST_ID = -(1 << 63)
 U = np.uint64
@@ -153,7 +155,7 @@ def _named(width: int):
         held: list[tuple] = []
         count = 0
         for batch in batches:
-            for part in common.chunks(batch):
+            for part in common.chunks(batch, most=PART_BYTES):
                 texts = common.texts_of(part)
                 h, n = parser.words(texts)
                 if not len(h):
@@ -312,7 +314,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = True)
     met = named.select("*", F.count("*").over(by).alias("rows"), F.min("id").over(by).alias("least"))
     root = F.col("kind") % 2 == 1
     hit = met.where(F.when(root, F.col("settled") | (F.col("id") > F.col("least"))).otherwise(F.col("settled") | (F.col("rows") > 1)))
-    marks = hit.groupBy("id", "c").agg(F.max(root).alias("copy"), F.collect_list(F.when(~root, F.struct("at", "n"))).alias("runs"))
+    marks = hit.groupBy("id", "c").agg(F.max(root).alias("copy"), F.collect_set(F.when(~root, F.struct("at", "n"))).alias("runs"))
     marks, _ = common.stored(marks, "anchors")
     del named, met, hit
     common.release(docs.sparkSession)
@@ -326,7 +328,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = True)
     ranked = sent.select("*", F.min(place).over(by).alias("least"))
     late = ranked.where((F.col("g") < 0) | (place > F.col("least"))).select("id", F.col("ac").bitwiseAND(0xFFFFFFFF).alias("c"), F.struct(at.cast("int").alias("at"), F.when(F.col("g") < 0, -1 - F.col("g")).otherwise(1).cast("int").alias("n")).alias("r"))
     copies = marks.where("copy").select("id", "c", F.lit(None).cast("struct<at:int,n:int>").alias("r"))
-    lost = late.withColumn("copy", F.lit(False)).union(copies.withColumn("copy", F.lit(True))).groupBy("id", "c").agg(F.max("copy").alias("copy"), F.collect_list("r").alias("runs"))
+    lost = late.withColumn("copy", F.lit(False)).union(copies.withColumn("copy", F.lit(True))).groupBy("id", "c").agg(F.max("copy").alias("copy"), F.collect_set("r").alias("runs"))
     out = texts.join(lost, ["id", "c"], "left").select("doc_id", F.coalesce("copy", F.lit(False)).alias("copy"), "runs", "text")
     return out.mapInArrow(_cut(width, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text)
 

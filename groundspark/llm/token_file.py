@@ -8,7 +8,8 @@ writer adds page indexes, so a reader of some documents or of some columns
 touches only their pages.
 
 Defined results: a null or empty text has the end id alone; a null doc_id
-comes first; repeated rows are written as often as they occur; an empty table
+comes first; rows of one doc_id stand beside each other in any order, and
+repeated rows as often as they occur; an empty table
 gives files without rows.
 """
 
@@ -49,7 +50,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), piece.column(0), pa.array(begin), pa.array(n), lists], ["part", "doc_id", "begin", "n_tokens", "ids"])
 
-    d = common.documents(docs).repartitionByRange(n_parts or common.parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("text"))
+    # The random key splits a doc_id that many rows carry (null among them); only doc_ids are read to find the ranges.
+    d = common.documents(docs).repartitionByRange(n_parts or common.parts(spark), F.col("doc_id").asc_nulls_first(), F.rand(7)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("text"))
     (
         d.mapInArrow(run, SCHEMA)
         .write.option("compression", "zstd")

@@ -2,14 +2,20 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
 import pytest
 import xxhash
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import brute  # noqa: E402
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCAB = ["the", "of", "and", "Ünder", "x1", "mole,", "sun.", "漢字", "a", "b", "c", "don't", "I'd", "#$%"]
 
@@ -86,9 +92,12 @@ def test_op1_against_brute_force(docs, width):
 
 
 def test_op1_small_alphabets_and_small_chunks(spark, monkeypatch):
-    """Runs and periods: many equal windows inside one document."""
+    """Runs and periods: many equal windows inside one document; workers reduce few rows at a time."""
     from groundspark.llm import substring_dedup as s
 
+    monkeypatch.setattr(s, "CHUNK_ROWS", 50)
+    monkeypatch.setattr(s, "PART_BYTES", 400)
+
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("ab"[: 1 + i % 2]) for _ in range(rng.randint(0, 60)))) for i in range(40)]
     rows += [(50 + i, " ".join(["p q r", "a b", "a"][i % 3] for _ in range(40))) for i in range(6)]
@@ -110,6 +119,22 @@ def test_op1_far_repeats_under_one_anchor(spark):
     assert all(r[2] > 100 for r in want)
 
 
+@pytest.mark.parametrize("width, chunk", [(20, 1 << 20), (6, 700)])
+def test_op1_interleaved_repeats(spark, monkeypatch, width, chunk):
+    """S X S Y S X S Y: an anchor that occurs at several places of one run of windows."""
+    from groundspark.llm import substring_dedup as s
+
+    monkeypatch.setattr(s, "PART_BYTES", chunk)
+    monkeypatch.setattr(s, "CHUNK_ROWS", chunk)
+    rng, rows = random.Random(1), []
+    for i in range(3000):
+        a, x, y = ([f"{c}{i}_{k}" for k in range(rng.randint(*n))] for c, n in (("s", (4, 6)), ("x", (3, 9)), ("y", (3, 9))))
+        rows.append((i, " ".join(2 * (a + x + a + y))))
+    want = brute_repeats(rows, width)
+    assert rows_of(s.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width, keep_text=False)) == want
+    assert sum(r[2] > 0 for r in want) > 2000
+
+
 def test_op1_equal_windows_have_equal_anchors():
     import numpy as np
 
@@ -333,24 +358,12 @@ def test_op6_against_scoring_all_pairs(spark, docs):
             w[10:10] = items[i % 40][1].upper().split()
         texts.append((i, " ".join(w)))
     texts += [(200, None), (201, "")]
-    index = d.Index(items)
-
-    def brute(text):
-        words, out = d.terms(text), set()
-        step = index.longest
-        for k in range(max(1, -(-(len(words) - 2 * step) // step) + 1)):
-            part = words[k * step : (k + 2) * step]
-            ids = {index.term[t] for t in part if t in index.term}
-            for n, item in enumerate(index.items):
-                score = sum(w for t in ids for i, w in zip(*index.posts[t]) if i == n)
-                if score >= index.threshold - 1e-9 and min(index._share(p, d.shingles(part), part) for p in index.parts[n]) >= 0.8:
-                    out.add(item)
-        return out
-
-    want = {(i, k) for i, t in texts for k in brute(t or "")}
+    found = brute.leaks([(i, t or "") for i, t in texts], items)
+    want = {(i, k): v for (i, _), got in found.items() for k, v in got.items()}
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in d.leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
-    assert got == want and {(i, i % 40) for i in range(0, 80, 4)} <= got
+    got = {(r.doc_id, r.item_id): (r.score, r.overlap) for r in d.leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert set(got) == set(want) and {(i, i % 40) for i in range(0, 80, 4)} <= set(got)
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
     assert d.leaks(docs, bench.limit(0)).count() == 0
 
 
@@ -403,6 +416,46 @@ def test_op8_equals_the_library(docs):
     assert rows_of(bpe.encode_decode(docs, keep_ids=False)) == sorted(want, key=repr)
 
 
+def test_op8_lexicon_counts_all_documents(docs, monkeypatch):
+    from groundspark.llm import bpe
+
+    want = Counter(w for _, t in corpus() for u in bpe.UNIT.findall(t or "") for w in bpe.WORD.findall(u) if len(w) <= bpe.MOST_CHARS)
+    assert {r.word: r.n for r in bpe.word_counts(docs).collect()} == want
+    # The pattern gives the same words on whole texts.
+    assert sum(want.values()) == sum(1 for _, t in corpus() for w in bpe.WORD.findall(t or "") if len(w) <= bpe.MOST_CHARS)
+
+
+def test_op4_op7_op8_forget_units_without_effect(monkeypatch):
+    """A worker's cache that holds few units."""
+    import numpy as np
+
+    from groundspark.llm import bpe
+
+    rng, t, v = random.Random(3), tokenizer(), bpe.Vocabulary(bpe.default_tokenizer())
+    enc = bpe.library_encoder(bpe.default_tokenizer(), v)
+    enc.most = 50
+    for _ in range(40):
+        texts = [" ".join(rng.choice(["the", "of", "sun,"]) if rng.random() < 0.5 else f"x{rng.randint(0, 999)}" for _ in range(30)) for _ in range(4)]
+        ids, n = enc.texts(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_op10_one_word_two_million_times():
+    """Memory of the ranks of all doublings."""
+    import tracemalloc
+
+    import numpy as np
+
+    from groundspark.llm import quality
+
+    key = np.zeros(2_000_000, np.uint64)
+    tracemalloc.start()
+    best = quality.longest_repeats(key)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert best[0] == 1_999_999 and best[-1] == 1 and peak < 420e6
+
+
 def test_op8_random_texts_and_transducer():
     import numpy as np
 
