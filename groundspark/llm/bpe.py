@@ -40,7 +40,7 @@ UNIT = re.compile(rf" ?[{LETTERS}]+(?=[{SPACE}!-/:-@\[-`{{-~]|\Z)| ?[^{SPACE}]+|
 ONE_WORD = re.compile(rf" ?[{LETTERS}]+")
 #: Fixed pattern of the tokenizer (contractions, letters, numbers, others, white space).
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: The lexicon: least count of a word, most words, most characters of a word; units that a worker counts at a time.
+#: The lexicon: least count of a word, most words, most characters of a word; pieces that a worker counts at a time.
 LEAST_COUNT, MOST_WORDS, MOST_CHARS, COUNTED = 4, 60_000, 64, 300_000
 #: Longer words are merged one by one with a heap.
 LOCKSTEP = 48
@@ -429,25 +429,25 @@ def kept_encoder(key: tuple, build) -> UnitEncoder:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n: how often each word of the tokenizer's pattern (up to MOST_CHARS characters) occurs in all documents."""
+    """word, n: the words of all documents' pieces between white space, each taken as it stands behind a space (words up to MOST_CHARS characters)."""
 
-    def rows(units: Counter) -> pa.RecordBatch:
+    def rows(pieces: Counter) -> pa.RecordBatch:
         count: Counter = Counter()
-        for unit, n in units.items():
-            for w in WORD.findall(unit) if ONE_WORD.fullmatch(unit) is None else (unit,):
+        for piece, n in pieces.items():
+            for w in WORD.findall(" " + piece):
                 if len(w) <= MOST_CHARS:
                     count[w] += n
         return pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], ["word", "n"])
 
     def run(batches):
-        units: Counter = Counter()
+        pieces: Counter = Counter()
         for batch in batches:
             for text in common.texts_of(batch):
-                units.update(UNIT.findall(text))
-                if len(units) > COUNTED:
-                    yield rows(units)
-                    units = Counter()
-        yield rows(units)
+                pieces.update(text.split())
+                if len(pieces) > COUNTED:
+                    yield rows(pieces)
+                    pieces = Counter()
+        yield rows(pieces)
 
     return common.documents(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

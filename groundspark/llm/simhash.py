@@ -14,10 +14,10 @@ apart than 2 bits of 64: texts whose sets of five-word shingles have a Jaccard
 similarity of 0.8 differ in about 5 to 10.  There each text has TABLES
 fingerprints of 64 bits, and every 32-bit half of one is ball hashed on its own;
 texts that meet in any half are candidates and are verified on their shingles.
-A bucket is compared with one member of it (a star), never pair by pair, and
-buckets that then still hold several components are compared with another
-member, until a round finds no link.  All work is linear in the number of
-emitted variants.
+The members of a bucket are compared with one of them (a star), never pair by
+pair: copies of one text are all linked to it, and a text has up to 66 buckets a
+fingerprint to meet others in.  All work is linear in the number of emitted
+variants.
 
 Defined results: a null or empty text, or one without words, has fingerprint
 zero and is linked like any other; fewer than `width` words are one shingle;
@@ -206,10 +206,11 @@ def near_duplicates(docs: DataFrame, tables: int = TABLES) -> DataFrame:
     """doc_id, h (row_key) of the document that stays of each class: the smallest doc_id (null last), then the smallest h.
 
     Classes are connected by pairs whose sets of five-word shingles have a
-    Jaccard similarity of 0.8 or more.  Equal sets always meet; others are
-    found if a half of some fingerprint differs in at most two bits (README
-    gives the measured share).  No pair that is less similar is ever linked,
-    but for collisions of 64-bit hashes.
+    Jaccard similarity of 0.8 or more.  Equal sets always meet; others do if a
+    half of some fingerprint differs in at most two bits and one of the two is
+    the bucket's centre, or through others (README gives the measured share).
+    No pair that is less similar is ever linked, but for collisions of 64-bit
+    hashes.
     """
     spark = docs.sparkSession
     texts = common.documents(docs).select("doc_id", common.row_key().alias("h"), "text")
@@ -217,33 +218,15 @@ def near_duplicates(docs: DataFrame, tables: int = TABLES) -> DataFrame:
     who = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("who")
     reps, _ = common.stored(rows.groupBy("s").agg(who, F.min("f").alias("f")), "sets")
 
-    def centre(salt: int, *more: str):
-        return F.min(F.struct(F.xxhash64(F.lit(salt), "s").alias("o"), "s", "f", *more)).alias("y")
-
     balls = half_balls(reps, tables)
-    shared = balls.groupBy("v").agg(centre(0), F.count("*").alias("n")).where("n > 1").select("v", "y")
-    met, _ = common.stored(balls.join(shared, "v"), "met")  # the rows of buckets with several members
-    links = root = tested = None
-    salt = 0
-    while True:
-        pairs = met.where((F.col("s") != F.col("y.s")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("y.f"))) <= STRANGERS))
-        pairs = pairs.select(F.least("s", "y.s").alias("a"), F.greatest("s", "y.s").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs, _ = common.stored(pairs, "pairs")
-        found = _similar(pairs, reps, texts)
-        if root is not None and found.isEmpty():
-            break
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        root = components(links, spark)
-        # Buckets that hold several components get another centre.
-        salt += 1
-        label = met.select("v", "s", "f").join(root, F.col("s") == F.col("node"), "left").select("v", "s", "f", F.coalesce("root", "s").alias("root"))
-        label, _ = common.stored(label, "label")
-        apart = label.groupBy("v").agg(centre(salt, "root"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("v", "y")
-        met, _ = common.stored(label.join(apart, "v").where((F.col("root") != F.col("y.root")) | (F.col("s") == F.col("y.s"))).select("v", "s", "f", "y"), "met")
-        common.release(spark)
+    # One order of centres for all buckets, so that a text meets the same centre in many of its buckets.
+    centre = F.min(F.struct(F.xxhash64("s").alias("o"), "s", "f")).alias("y")
+    shared = balls.groupBy("v").agg(centre, F.count("*").alias("n")).where("n > 1").select("v", "y")
+    near = (F.col("s") != F.col("y.s")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("y.f"))) <= STRANGERS)
+    pairs = balls.join(shared, "v").where(near).select(F.least("s", "y.s").alias("a"), F.greatest("s", "y.s").alias("b"))
+    pairs, _ = common.stored(pairs.distinct(), "pairs")
+    common.release(spark)
+    root = components(_similar(pairs, reps, texts), spark)
     classes = reps.join(root, reps["s"] == root["node"], "left").groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("who").alias("who"))
     return classes.select("who.doc_id", "who.h")
 
