@@ -453,13 +453,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary) -> bytes:
-    """Transducer of the vocabulary's own words and of the words that are most frequent in all documents.
+    """Transducer of the vocabulary's own words and of the words that are most frequent in all documents (words of equal counts together).
 
     It decides only which words are looked up instead of merged, never a
     result; MOST_WORDS bounds what reaches the driver and is sent to workers.
     """
-    top = word_counts(docs).where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(MOST_WORDS // 2)
-    words = [r.word.encode() for r in top.collect()]  # at most MOST_WORDS / 2
+    counts, _ = common.stored(word_counts(docs).where(F.col("n") >= LEAST_COUNT).withColumn("size", F.floor(F.log2("n") * 16).cast("int")), "words")
+    # The least size of counts (sixteen to a doubling, a thousand at most) from which up there are no more words than MOST_WORDS / 2.
+    least, total = 1 << 30, 0
+    for r in sorted(counts.groupBy("size").count().collect(), reverse=True):
+        total += r["count"]
+        if total > MOST_WORDS // 2:
+            break
+        least = r["size"]
+    words = sorted(r.word.encode() for r in counts.where(F.col("size") >= least).select("word").collect())  # at most MOST_WORDS / 2
     own = [b for b in vocabulary.bytes if b and len(b) <= 32][: MOST_WORDS // 2]
     words = list({w: 1 for w in words + own})
     return Transducer.compile(words, *vocabulary.merge(words))

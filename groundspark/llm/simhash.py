@@ -39,7 +39,7 @@ from .wordhash import Rolling, WordHashes, mix
 WIDTH, SEED = 3, 42
 #: Near-duplicates: words of a shingle, the similarity as a fraction, fingerprints of a text.
 SET_WIDTH, OVER, UNDER, TABLES = 5, 4, 5, 4
-#: Candidates that differ in more bits of another table's fingerprint are strangers (of 5,063 pairs of similarity 0.8 in two
+#: Candidates that differ in more bits a fingerprint are strangers (of 5,063 pairs of similarity 0.8 in two
 #: samples 8 differed in more than 15; texts that share nothing differ in about 32).
 STRANGERS = 16
 #: Links beyond which the lookup of a node's least neighbour is a table of its own (the rows don't depend on it).
@@ -170,15 +170,11 @@ def _sketches(tables: int):
 
 
 def half_balls(reps: DataFrame, tables: int) -> DataFrame:
-    """v, s, f: each half of each fingerprint with at most one bit flipped, and a fingerprint of another table."""
-    halves = []
-    for k in range(2 * tables):
-        own, other = F.element_at("f", k // 2 + 1), F.element_at("f", (k // 2 + 1) % tables + 1)
-        half = F.shiftrightunsigned(own, 32 * (k % 2)).bitwiseAND(0xFFFFFFFF)
-        halves.append(F.struct((half + F.lit(k << 32)).alias("v"), other.alias("f")))
+    """v, s: each half of each fingerprint with at most one bit flipped."""
+    halves = [F.shiftrightunsigned(F.element_at("f", k // 2 + 1), 32 * (k % 2)).bitwiseAND(0xFFFFFFFF) + F.lit(k << 32) for k in range(2 * tables)]
     one = reps.select("s", F.explode(F.array(*halves)).alias("x"))
-    flips = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda i: F.when(i == 32, F.col("x.v")).otherwise(F.col("x.v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    return one.select(F.explode(flips).alias("v"), "s", F.col("x.f").alias("f"))
+    flips = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda i: F.when(i == 32, F.col("x")).otherwise(F.col("x").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+    return one.select(F.explode(flips).alias("v"), "s")
 
 
 def _verify(batches):
@@ -219,12 +215,14 @@ def near_duplicates(docs: DataFrame, tables: int = TABLES) -> DataFrame:
     reps, _ = common.stored(rows.groupBy("s").agg(who, F.min("f").alias("f")), "sets")
 
     balls = half_balls(reps, tables)
-    # One order of centres for all buckets, so that a text meets the same centre in many of its buckets.
-    centre = F.min(F.struct(F.xxhash64("s").alias("o"), "s", "f")).alias("y")
-    shared = balls.groupBy("v").agg(centre, F.count("*").alias("n")).where("n > 1").select("v", "y")
-    near = (F.col("s") != F.col("y.s")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("y.f"))) <= STRANGERS)
-    pairs = balls.join(shared, "v").where(near).select(F.least("s", "y.s").alias("a"), F.greatest("s", "y.s").alias("b"))
-    pairs, _ = common.stored(pairs.distinct(), "pairs")
+    # The least set of a bucket is its centre: names of sets are hashes, so one order of them serves all buckets, and a text
+    # meets the same centre in many of its buckets.
+    shared = balls.groupBy("v").agg(F.min("s").alias("a"), F.max("s").alias("z")).where("a <> z").select("v", "a")
+    shared, _ = common.stored(shared, "shared")  # a table, so that both sides of the join are plain exchanges, which Spark can split
+    met = balls.join(shared, "v").where("s <> a").select("a", F.col("s").alias("b")).distinct()
+    bits = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(tables)), F.lit(0))
+    met = met.join(reps.select(F.col("s").alias("a"), F.col("f").alias("fa")), "a").join(reps.select(F.col("s").alias("b"), F.col("f").alias("fb")), "b")
+    pairs, _ = common.stored(met.where(bits <= STRANGERS * tables).select("a", "b"), "pairs")
     common.release(spark)
     root = components(_similar(pairs, reps, texts), spark)
     classes = reps.join(root, reps["s"] == root["node"], "left").groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("who").alias("who"))
