@@ -16,8 +16,8 @@ fingerprints of 64 bits, and every 32-bit half of one is ball hashed on its own;
 texts that meet in any half are candidates and are verified on their shingles.
 The members of a bucket are compared with one of them (a star), never pair by
 pair: copies of one text are all linked to it, and a text has up to 66 buckets a
-fingerprint to meet others in.  All work is linear in the number of emitted
-variants.
+fingerprint to meet others in.  Equal halves meet as one half before anything is
+emitted.  All work is linear in the number of halves.
 
 Defined results: a null or empty text, or one without words, has fingerprint
 zero and is linked like any other; fewer than `width` words are one shingle;
@@ -169,12 +169,23 @@ def _sketches(tables: int):
     return run
 
 
-def half_balls(reps: DataFrame, tables: int) -> DataFrame:
-    """v, s: each half of each fingerprint with at most one bit flipped."""
-    halves = [F.shiftrightunsigned(F.element_at("f", k // 2 + 1), 32 * (k % 2)).bitwiseAND(0xFFFFFFFF) + F.lit(k << 32) for k in range(2 * tables)]
-    one = reps.select("s", F.explode(F.array(*halves)).alias("x"))
-    flips = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda i: F.when(i == 32, F.col("x")).otherwise(F.col("x").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    return one.select(F.explode(flips).alias("v"), "s")
+def halves(reps: DataFrame, tables: int) -> DataFrame:
+    """v, s: the halves of each fingerprint."""
+    parts = [F.shiftrightunsigned(F.element_at("f", k // 2 + 1), 32 * (k % 2)).bitwiseAND(0xFFFFFFFF) + F.lit(k << 32) for k in range(2 * tables)]
+    return reps.select(F.explode(F.array(*parts)).alias("v"), "s")
+
+
+def half_balls(own: DataFrame) -> DataFrame:
+    """v, s: each half with at most one bit flipped."""
+    flips = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda i: F.when(i == 32, F.col("v")).otherwise(F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+    return own.select(F.explode(flips).alias("v"), "s")
+
+
+def stars(members: DataFrame, name: str) -> DataFrame:
+    """a, b: each member (v, s) of a bucket with the bucket's least one, which has several."""
+    centres = members.groupBy("v").agg(F.min("s").alias("a"), F.max("s").alias("z")).where("a <> z").select("v", "a")
+    centres, _ = common.stored(centres, name)  # a table, so that both sides of the join are plain exchanges, which Spark can split
+    return members.join(centres, "v").where("s <> a").select("a", F.col("s").alias("b"))
 
 
 def _verify(batches):
@@ -214,12 +225,12 @@ def near_duplicates(docs: DataFrame, tables: int = TABLES) -> DataFrame:
     who = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("who")
     reps, _ = common.stored(rows.groupBy("s").agg(who, F.min("f").alias("f")), "sets")
 
-    balls = half_balls(reps, tables)
     # The least set of a bucket is its centre: names of sets are hashes, so one order of them serves all buckets, and a text
-    # meets the same centre in many of its buckets.
-    shared = balls.groupBy("v").agg(F.min("s").alias("a"), F.max("s").alias("z")).where("a <> z").select("v", "a")
-    shared, _ = common.stored(shared, "shared")  # a table, so that both sides of the join are plain exchanges, which Spark can split
-    met = balls.join(shared, "v").where("s <> a").select("a", F.col("s").alias("b")).distinct()
+    # meets the same centre in many of its buckets.  Equal halves are one before anything is emitted.
+    own = halves(reps, tables)
+    equal = stars(own, "equal-halves")
+    distinct, _ = common.stored(own.groupBy("v").agg(F.min("s").alias("s")), "halves")
+    met = equal.union(stars(half_balls(distinct), "balls")).distinct()
     bits = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(tables)), F.lit(0))
     met = met.join(reps.select(F.col("s").alias("a"), F.col("f").alias("fa")), "a").join(reps.select(F.col("s").alias("b"), F.col("f").alias("fb")), "b")
     pairs, _ = common.stored(met.where(bits <= STRANGERS * tables).select("a", "b"), "pairs")
