@@ -50,7 +50,7 @@ def triples(t: dict[str, DataFrame], min_votes: int = 1000, cast_cap: int = 10)
     film = films.select("tconst", F.col("primaryTitle").alias("film"), "genres", "startYear")
     names = t["name_basics"].select("nconst", F.col("primaryName").alias("person"))
     row = lambda df, s, r, o: df.select(F.col(s).alias("subject"), F.lit(r).alias("relation"), F.col(o).cast("string").alias("object"), source)
-    genres = film.select("tconst", "film", F.explode(F.split("genres", ",")).alias("genre"))
+    genres = film.select("tconst", "film", F.explode(F.transform(F.split("genres", ","), lambda g: F.trim(g))).alias("genre"))
     directors = t["title_crew"].select("tconst", F.explode(F.split("directors", ",")).alias("nconst")).join(film, "tconst").join(names, "nconst")
     cast = t["title_principals"].where(F.col("category").isin("actor", "actress") & (F.col("ordering") <= cast_cap)).join(film, "tconst").join(names, "nconst")
     roles = cast.select("tconst", "film", "person", F.explode(json_names(F.col("characters"))).alias("character"))

@@ -30,7 +30,7 @@ def tables(spark: SparkSession, n: int = 48) -> dict[str, DataFrame]:
     tickets = each.select(
         F.row_number().over(Window.orderBy("customer_id", "k")).cast("long").alias("ticket_id"), "customer_id", pick(i % 3, {0: "high", 1: "low"}, "medium").alias("priority"), (i % 2 == 0).alias("resolved")
     )
-    regions = spark.createDataFrame([("APAC", "Japan"), ("EMEA", "Germany"), ("AMER", "Canada"), ("LATAM", "Brazil")], "region string, country string")
+    regions = spark.createDataFrame([("APAC", "Singapore"), ("EMEA", "Germany"), ("AMER", "United States"), ("LATAM", "Brazil")], "region string, country string")
     return {"regions": regions, "customers": customers, "subscriptions": subscriptions, "support_tickets": tickets}
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that carry no meaning of their own in a question about entities.
 STOP = frozenset("a an the of in on at to for by with and or is are was were be do does did which who whom whose what when where how many much all any it its this that these those from as".split())
@@ -45,16 +49,67 @@ def strip_tags(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), "[ \\t\\n\\r]+", " "))
 
 
+#: The marks of wiki text that open, close or part something, and the spans that hold no text.
+MARKS = re.compile(r"(\{\{|\}\}|\{\||\|\}|\[\[|\]\]|\||<!--.*?(?:-->|\Z)|<ref\b[^>]*?/>|<ref\b.*?(?:</ref\s*>|\Z)|</?[a-z][^>]*>|'{2,5})", re.S | re.I)
+PAIRS = {"}}": "{{", "|}": "{|", "]]": "[["}
+#: Links into these name spaces show no text.
+UNSHOWN = re.compile(r"\s*(?:file|image|category)\s*:", re.I)
+OUTER_LINK = re.compile(r"\[(?:https?:)?//[^\s\]]+\s*([^\]\n]*)\]")
+
+
+def wiki_text(markup: str | None) -> str | None:
+    """The text that wiki markup shows.
+
+    Templates and tables vanish with all that is nested in them, links leave
+    their last part, files and categories nothing; references, comments, tags
+    and quote marks go.  What is never closed leaves its text.
+    """
+    if markup is None:
+        return None
+    open_: list[tuple[str, list[str]]] = [("", [""])]  # the mark, and the parts between bars
+
+    def close(shown: str) -> None:
+        open_.pop()
+        open_[-1][1][-1] += shown
+
+    for k, piece in enumerate(MARKS.split(markup)):
+        mark, parts = open_[-1]
+        if k % 2 == 0:
+            parts[-1] += piece
+        elif piece in ("{{", "{|", "[["):
+            open_.append((piece, [""]))
+        elif piece in PAIRS:
+            if any(m == PAIRS[piece] for m, _ in open_):
+                while open_[-1][0] != PAIRS[piece]:  # left open inside
+                    close("".join(open_[-1][1]))
+                mark, parts = open_[-1]
+                close("" if mark != "[[" or UNSHOWN.match(parts[0]) else parts[-1])
+            elif piece == "|}":
+                parts[-1] += "}"
+        elif piece == "|":
+            if mark:
+                parts.append("")
+            else:
+                parts[-1] += piece
+    while len(open_) > 1:
+        close("".join(open_[-1][1]))
+    text = OUTER_LINK.sub(r"\1", open_[0][1][0])
+    return re.sub(r"\n\s*\n\s*", "\n\n", text).strip()
+
+
 def strip_wikitext(c: Column) -> Column:
-    """Readable text of wiki markup: references, shallow templates, links, quotes and tags go."""
-    for pattern, to in ((r"<ref[^>]*/>", ""), (r"(?s)<ref[^>]*>.*?</ref>", ""), (r"\{\{[^{}]*\}\}", ""), (r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"), (r"\[\[([^\]]*)\]\]", "$1"), (r"'{2,}", ""), (r"<[^>]+>", ""), (r"\n{3,}", "\n\n")):
-        c = F.regexp_replace(c, pattern, to)
-    return F.trim(c)
+    """wiki_text of a column; nesting needs a stack, so this is an Arrow batch function."""
+
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(wiki_text, na_action="ignore")
+
+    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, StringType())(c)
 
 
 def section(c: Column, names: tuple[str, ...] = ("Plot", "Synopsis")) -> Column:
-    """Body of the first second-level section with one of the names ('' if none)."""
-    return F.btrim(F.regexp_extract(c, rf"(?ms)^==\s*(?:{'|'.join(names)})\s*==\s*$(.*?)(?=^==[^=]|\z)", 1), F.lit(" \t\r\n"))
+    """Body of the first section with one of the names, in any case and at any level, up to the next heading ('' if none)."""
+    return F.btrim(F.regexp_extract(c, rf"(?msi)^==+[ \t]*(?:{'|'.join(names)})[ \t]*==+[ \t]*$(.*?)(?=^==+[^\n]*==+[ \t]*$|\z)", 1), F.lit(" \t\r\n"))
 
 
 def triple_lines(c: Column, relations: tuple[str, ...]) -> Column:

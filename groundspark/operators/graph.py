@@ -8,9 +8,10 @@ applies before the shuffle, so a hub's edges don't meet in one task.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -33,6 +34,8 @@ class Ontology:
     connective: frozenset[str]
     intents: tuple[Intent, ...]
     relations: frozenset[str]
+    hint: str = ""
+    empty_hint: str = ""
 
     def resolve(self, question: set[str]) -> Intent:
         """Most triggers hit; on a tie pairwise, then the earliest; open over all relations if none."""
@@ -40,14 +43,26 @@ class Ontology:
         return min(scored)[3] if scored else Intent("open", "open", frozenset(), self.relations)
 
 
-def dedupe(t: DataFrame) -> DataFrame:
-    """One row for each (subject, relation, object), with its least source."""
-    return t.groupBy("subject", "relation", "object").agg(F.min("source").alias("source"))
+def dedupe(t: DataFrame, last: str | None = None) -> DataFrame:
+    """One row for each (subject, relation, object): with its least source, or with the source of the greatest `last` (an order of arrival)."""
+    source = F.min("source") if last is None else F.max_by("source", F.struct(last, "source"))
+    return t.groupBy("subject", "relation", "object").agg(source.alias("source"))
+
+
+SAFE_NAME = re.compile(r"[A-Za-z_]\w*", re.A)
+
+
+def safe_name(name: str) -> str:
+    """A relation or label that may become part of a path or of query text."""
+    if not SAFE_NAME.fullmatch(name):
+        raise ValueError(f"not a plain name: {name!r}")
+    return name
 
 
 def edges(t: DataFrame) -> DataFrame:
-    """entity, other, slot and the triple: each triple from both ends (a loop twice)."""
-    return t.select(F.col("subject").alias("entity"), F.col("object").alias("other"), F.lit(0).alias("slot"), *TRIPLE).union(t.select(F.col("object"), F.col("subject"), F.lit(1), *TRIPLE))
+    """entity, other, slot and the triple: each triple from both ends (a loop twice); one scan."""
+    end = lambda a, b, k: F.struct(F.col(a).alias("entity"), F.col(b).alias("other"), F.lit(k).alias("slot"))
+    return t.select(F.explode(F.array(end("subject", "object", 0), end("object", "subject", 1))).alias("e"), *TRIPLE).select("e.*", *TRIPLE)
 
 
 def degree(t: DataFrame) -> DataFrame:
@@ -70,11 +85,12 @@ def seeds_by_tokens(names: DataFrame, question: str, top: int = 10) -> DataFrame
     # The question's tokens are a literal, so this is a filter on the scan of names.
     words = T.token_set(F.lit(question))
     m = names.withColumn("t", T.token_set(F.col("entity"))).where((F.size("t") > 0) & (F.size(F.array_except("t", words)) == 0) & (F.size(F.array_except("t", stop)) > 0))
-    m = m.select("entity", "t", F.size("t").alias("n"))
-    top_m = m.orderBy(F.desc("n"), F.desc(F.length("entity")), F.desc("entity")).limit(1000)
-    b = top_m.select(F.col("t").alias("bt"), F.col("n").alias("bn"))
-    least = top_m.join(b, (F.col("bn") > F.col("n")) & (F.size(F.array_except("t", "bt")) == 0), "left_anti")
-    return least.orderBy(F.desc("n"), F.desc(F.length("entity")), F.desc("entity")).limit(top).select("entity")
+    m = m.select("entity", F.array_sort("t").alias("t"), F.size("t").alias("n"))
+    # Token sets are subsets of the question's few words: containment is judged between distinct sets, for all matches.
+    sets = m.select("t", "n").distinct()
+    b = sets.toDF("bt", "bn")
+    most = sets.join(b, (F.col("bn") > F.col("n")) & (F.size(F.array_except("t", "bt")) == 0), "left_anti").select("t")
+    return m.join(most, "t", "left_semi").orderBy(F.desc("n"), F.desc(F.length("entity")), F.desc("entity")).limit(top).select("entity")
 
 
 def seeds_by_spans(names: DataFrame, question: str, top: int = 10, most: int = 6) -> DataFrame:
@@ -124,9 +140,12 @@ def pairwise(t: DataFrame, seeds: list[str], targets: frozenset[str]) -> DataFra
     return e.join(shared, "other", "left_semi").select(*TRIPLE).distinct()
 
 
-def open_search(t: DataFrame, seeds: list[str], o: Ontology, hops: int = 2, per_node: int = PER_NODE, hub: int = HUB_DEGREE, budget: int = MOST_TRIPLES) -> DataFrame:
+def open_search(t: DataFrame, seeds: list[str], o: Ontology, hops: int = 2, per_node: int = PER_NODE, hub: int = HUB_DEGREE, budget: int = MOST_TRIPLES, gate: str = "node") -> DataFrame:
     """Bounded breadth-first search: hop, then order of the frontier, then triple order; stops at `budget` triples.
 
+    gate `node`: values of attribute relations are not expanded.  gate
+    `relation`: no end of an attribute edge is expanded by way of that edge.
+
     The frontier comes to the driver between hops; it has at most `budget` x 2
     names.  Nodes over the hub degree and attribute values are reached but not
     expanded.
@@ -149,7 +168,7 @@ def open_search(t: DataFrame, seeds: list[str], o: Ontology, hops: int = 2, per_
                     break
                 known.add(key)
                 rows.append(key)
-            if r.degree <= hub and r.other not in seen and not r.leaf:
+            if r.degree <= hub and r.other not in seen and not (r.relation in o.attributes if gate == "relation" else r.leaf):
                 seen.add(r.other)
                 nxt.append(r.other)
         frontier = nxt
@@ -235,14 +254,35 @@ def backbone(parts: DataFrame, lineitem: DataFrame, supplier: DataFrame, nation:
     return dedupe(t)
 
 
+def save_store(t: DataFrame, path: str) -> None:
+    """Triples by relation and, once for all readers, every entity with its degree."""
+    t = t.select(*TRIPLE)
+    for r in [r.relation for r in t.select("relation").distinct().collect()]:  # a few relations of the ontology
+        safe_name(r)
+    t.repartition("relation", F.pmod(F.xxhash64("subject"), F.lit(16))).write.mode("overwrite").partitionBy("relation").parquet(f"{path}/triples")
+    degree(open_store(t.sparkSession, path)).write.mode("overwrite").parquet(f"{path}/nodes")
+
+
+def open_store(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("subject string, object string, source string, relation string").parquet(f"{path}/triples").select(*TRIPLE)
+
+
+def store_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """entity (unique), degree."""
+    return spark.read.schema("entity string, degree long").parquet(f"{path}/nodes")
+
+
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """Triples of JSON lines; a missing source is '', a malformed line an error."""
     d = spark.read.schema("subject string, relation string, obj string, source string").option("mode", "FAILFAST").json(path)
     return d.select("subject", "relation", F.col("obj").alias("object"), F.coalesce("source", F.lit("")).alias("source"))
 
 
-def write_triples(t: DataFrame, path: str, append: bool = False) -> None:
-    t.select("subject", "relation", F.col("object").alias("obj"), "source").write.mode("append" if append else "overwrite").json(path)
+def write_triples(t: DataFrame, path: str, append: bool = False) -> int:
+    """Writes JSON lines and returns how many."""
+    seen = Observation()
+    t.observe(seen, F.count(F.lit(1)).alias("n")).select("subject", "relation", F.col("object").alias("obj"), "source").write.mode("append" if append else "overwrite").json(path)
+    return seen.get["n"]
 
 
 SAMPLE = Ontology(

@@ -34,6 +34,13 @@ class Policy:
     relations: frozenset[str] = frozenset()  # classified relations
     required: frozenset[str] = frozenset()
     version: str = "1"
+    anonymous: str = "public"
+    classes: dict[str, dict] = field(default_factory=dict)  # table or table.column -> its classification
+
+    def may_relate(self, role: str, relation: str) -> bool:
+        """A relation must be classified and granted."""
+        r = self.role(role).relations
+        return ("*" in self.relations or relation in self.relations) and ("*" in r or relation in r)
 
     def role(self, name: str) -> Role:
         if name not in self.roles:

@@ -15,7 +15,6 @@ from .sqlguard import Analysis, GuardError, analyze
 
 WORD = re.compile(r"[a-z0-9]+")
 RANKING = re.compile(r"\b(top|highest|lowest|most|least|best|worst)\b", re.I)
-CAPITAL = re.compile(r"\b[A-Z][\w'&.-]*(?:\s+[A-Z][\w'&.-]*)*")
 #: Hints of the router.
 SQL_HINTS = frozenset("how many count average avg total sum number top highest lowest most least per year list compare".split())
 GRAPH_HINTS = frozenset("related connected between similar path both shared common supplies supplier linked relationship theme".split())
@@ -25,6 +24,29 @@ def words(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
+def names_in(question: str) -> list[str]:
+    """Phrases of a question that may name something: runs of words that begin with a capital or a digit inside such a run.
+
+    A word's capital may be of any script.  Punctuation behind a word ends the
+    run, as does a word that begins small; words that carry no meaning of their
+    own don't begin a phrase.
+    """
+    found: list[list[str]] = []
+    going = False
+    for raw in question.split():
+        word = raw.strip(".,;:!?()[]\"“”„«»")
+        named = bool(word) and (word[0].isupper() or (going and word[0].isdigit()))
+        if named and not going and word.lower() in T.STOP:
+            named = False
+        if named:
+            if going:
+                found[-1].append(word)
+            else:
+                found.append([word])
+        going = named and raw.endswith(word)
+    return list(dict.fromkeys(" ".join(p) for p in found))
+
+
 @dataclass(frozen=True)
 class ColumnDef:
     name: str
@@ -98,7 +120,7 @@ def link_values(atoms: DataFrame, question: str) -> DataFrame:
 def probe_entities(df: DataFrame, column: str, question: str, most: int = 5) -> list[str]:
     """Values that contain a capitalised phrase of the question."""
     out: list[str] = []
-    for span in dict.fromkeys(CAPITAL.findall(question)):
+    for span in names_in(question):
         like = "%" + re.sub(r"([%_\\])", r"\\\1", span) + "%"
         out += [r[0] for r in df.where(F.col(column).ilike(like)).select(column).distinct().orderBy(column).limit(most).collect()]
     return list(dict.fromkeys(out))
@@ -188,13 +210,36 @@ class CannedModel:
         return self.replies[(len(self.prompts) - 1) % len(self.replies)]
 
 
-def answer_sql(question: str, model: Callable[[str], str], run: Callable[[str], DataFrame], spark: SparkSession, context: str = "", candidates: int = 3, corrections: int = 2) -> Answer:
-    """Write candidates, vote, critique, correct; a refusal by the policy ends the search, other errors are fed back."""
-    hard = bool(RANKING.search(question))
-    tries, feedback = candidates if hard else 1, ""
+@dataclass
+class Step:
+    name: str
+    detail: str = ""
+
+
+def answer_sql(question: str, model: Callable[[str], str], run: Callable[[str], DataFrame], spark: SparkSession, context: str = "", candidates: int = 3, corrections: int = 2, links: Callable[[str], list[str]] | None = None, trace: list[Step] | None = None) -> Answer:
+    """Link, classify, plan if hard, write candidates, vote, critique, correct.
+
+    links gives conditions on stored values that the question names.  A
+    question is hard if it asks for a ranking or names a stored value; only hard
+    ones get a plan and several candidates.  A refusal by the policy ends the
+    search, other errors are fed back.
+    """
+    steps = trace if trace is not None else []
+    hints = links(question) if links else []
+    steps.append(Step("link", "; ".join(hints)))
+    hard = bool(RANKING.search(question)) or bool(hints)
+    steps.append(Step("classify", "hard" if hard else "simple"))
+    prompt = "\n".join([context, *(f"Hint: {h}" for h in hints), f"Question: {question}"])
+    if hard:
+        plan = model(f"{prompt}\nList the steps of a query, without SQL.").strip()
+        steps.append(Step("plan", plan))
+        prompt += f"\nPlan: {plan}"
+    tries, feedback, last, error = candidates if hard else 1, "", None, ""
+    sqls: list[str] = []
     for _ in range(corrections + 1):
-        sqls = [extract_sql(model(f"{context}\nQuestion: {question}\n{feedback}")) for _ in range(tries)]
-        got, marks, error = [], [], ""
+        sqls = [extract_sql(model(f"{prompt}\n{feedback}")) for _ in range(tries)]
+        steps.append(Step("write", f"{tries}"))
+        got, marks = [], []
         for s in sqls:
             try:
                 df = run(s)
@@ -203,23 +248,25 @@ def answer_sql(question: str, model: Callable[[str], str], run: Callable[[str],
             except GuardError as e:
                 if e.status == 403:
                     raise
+                error = str(e)
                 got.append(None)
                 marks.append(None)
-                error = str(e)
             except Exception as e:  # noqa: BLE001  any failure of a candidate is feedback
+                error = str(e).split("\n")[0]
                 got.append(None)
                 marks.append(None)
-                error = str(e).split("\n")[0]
-        k = majority(marks)
+        k, tries = majority(marks), 1
         if k is None:
-            feedback, tries = f"Failed: {error}", 1
+            feedback = f"Failed: {error}"
+            steps.append(Step("validate", error))
             continue
         problems = critique(question, analyze(spark, sqls[k]), got[k].limit(1).count())
-        if not problems:
-            return Answer("sql", got[k], sqls[k])
-        feedback, tries = f"Problems: {', '.join(problems)}", 1
+        steps.append(Step("critic", ", ".join(problems)))
         last = Answer("sql", got[k], sqls[k], ", ".join(problems))
-    return last if k is not None else Answer("sql", None, sqls[-1], f"The question could not be answered: {error}")
+        if not problems:
+            return last
+        feedback = f"Problems: {', '.join(problems)}"
+    return last or Answer("sql", None, sqls[-1], f"The question could not be answered: {error}")
 
 
 def same_cell(a, b) -> bool:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import sql_session
+from .graph import denied_sources as graph_denied
 from .policy import ALLOW, DENY, MASK, Policy, PolicyError
 from .sqlguard import Analysis, GuardError, Guardrails, analyze
 
@@ -26,7 +28,7 @@ def role_session(spark: SparkSession, openers: dict[str, Opener], policy: Policy
     filters over the base tables.  Any rule that does not fit the tables is an
     error now, not at query time.  Base names don't resolve in the session.
     """
-    r, own = policy.role(role), spark.newSession()
+    r, own = policy.role(role), sql_session(spark)
     tables = {t: read(own) for t, read in openers.items()}
     for t in policy.required:
         if t not in tables:
@@ -100,5 +102,35 @@ class GovernedSql:
             df = df.select(*[F.lit("***").alias(c) if c in masked else F.col(c) for c in df.columns])
         return df.limit(r.max_rows)
 
-    def obligations(self, role: str, sql: str) -> list[tuple[str, str]]:
-        return self.policy.obligations(self.before(role, sql).tables)
+    def list_tables(self, role: str) -> dict[str, list[tuple[str, str]]]:
+        """What the role may name: its views with their columns and types."""
+        own = self.session(role)
+        return {t: [(f.name, f.dataType.simpleString()) for f in own.table(t).schema] for t in sorted(self.tables) if self.policy.may_read(role, t)}
+
+    def obligations(self, role: str, sql: str, action: str = "query") -> list[tuple[str, str]]:
+        return self.policy.obligations(self.before(role, sql, action).tables)
+
+    def denied_sources(self, role: str, table: str, key: str, prefixes: tuple[str, ...]) -> DataFrame:
+        """Sources of the rows of a table that the role can't see: all rows if the table isn't granted."""
+        own = self.session(role)
+        base = self.tables[table](own)
+        view = own.table(table) if self.policy.may_read(role, table) and key in own.table(table).columns else base.limit(0)
+        return graph_denied(base, view, key, prefixes)
+
+
+class Passthrough:
+    """The same calls without a policy, for data that needs none."""
+
+    def __init__(self, spark: SparkSession, tables: dict[str, Opener]):
+        self.own = sql_session(spark)
+        for name, read in tables.items():
+            read(self.own).createOrReplaceTempView(name)
+
+    def session(self, role: str) -> SparkSession:
+        return self.own
+
+    def query(self, role: str, sql: str, action: str = "query") -> DataFrame:
+        return self.own.sql(sql)
+
+    def obligations(self, role: str, sql: str, action: str = "query") -> list[tuple[str, str]]:
+        return []

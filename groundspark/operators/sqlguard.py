@@ -115,8 +115,9 @@ def analyze(spark: SparkSession, sql: str, rails: Guardrails = Guardrails()) ->
         found.sorted |= _kind(top) == "Sort"
         top = top.child()
     _walk(plan, frozenset(), found)
+    many = len(found.tables) > rails.max_tables  # every reference counts, also to one table
     found.tables = sorted(set(found.tables))
-    if len(found.tables) > rails.max_tables or found.joins > rails.max_joins:
+    if many or found.joins > rails.max_joins:
         raise GuardError("query_too_complex")
     if rails.require_limit and not found.limited:
         raise GuardError("result_limit_required")
@@ -164,10 +165,8 @@ def _expression(e, shadowed: frozenset, found: Analysis) -> None:
             raise GuardError("external_access_denied", name)
     if "WithUnresolvedIdentifier" in kind:
         raise GuardError("external_access_denied", kind)
-    if kind in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery") and kind != "InSubquery":
+    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):  # the query of IN is a child, too
         _walk(e.plan(), shadowed, found)
-    if kind == "InSubquery":
-        _walk(e.query().plan(), shadowed, found)
     for child in _seq(e.children()):
         if child.getClass().getName() != e.getClass().getName() or child is not e:
             _expression(child, shadowed, found)

@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..session import scratch
 
 S = G.SAMPLE
+_SAVED: set[str] = set()
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triples of the sample tables, derived once for an application and folder and then read from the graph store."""
+    path = scratch(spark, "graph-" + hashlib.sha256(sf_dir.encode()).hexdigest()[:16])
+    if path not in _SAVED:
+        G.save_store(derived(spark, sf_dir), path)
+        _SAVED.add(path)
+    return G.open_store(spark, path)
+
+
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, l, s, n, r = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem", "supplier", "nation", "region"))
     return G.backbone(p, l, s, n, r)
 
@@ -36,7 +49,7 @@ names AS (SELECT entity FROM (SELECT DISTINCT entity FROM e) x WHERE entity NOT
 
 
 def q34_triples_backbone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triples(spark, sf_dir)
+    return derived(spark, sf_dir)
 
 
 def q35_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +80,20 @@ def q41_open_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.open_search(triples(spark, sf_dir), ["NATION_1"], S, budget=10_000)
 
 
+def q71_open_default_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.open_search(triples(spark, sf_dir), ["NATION_1"], S)
+
+
+def q72_open_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.open_search(triples(spark, sf_dir), SUPPLIERS[:1], S, budget=10_000, gate="relation")
+
+
+def q73_last_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    each = l.select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("subject"), F.lit("SHIPPED_AS").alias("relation"), F.col("l_returnflag").alias("object"), F.concat(F.lit("order:"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("source"), F.struct("l_orderkey", "l_linenumber").alias("pos"))
+    return G.dedupe(each, "pos")
+
+
 def q42_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = triples(spark, sf_dir)
     return G.rank(G.lookup(t, SUPPLIERS, S.relations), t, SUPPLIERS, frozenset({"BASED_IN"}), top=60)
@@ -86,7 +113,7 @@ def q50_network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.network_edges(triples(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (q34_triples_backbone, q35_degree, q36_seed_subset, q37_span_link, q38_entity_lookup, q39_cluster, q40_pairwise, q41_open_bfs, q42_rank, q43_governed_graph, q49_network_nodes, q50_network_edges)}
+QUERIES = {f.__name__: f for f in (q71_open_default_budget, q72_open_by_relation, q73_last_source, q34_triples_backbone, q35_degree, q36_seed_subset, q37_span_link, q38_entity_lookup, q39_cluster, q40_pairwise, q41_open_bfs, q42_rank, q43_governed_graph, q49_network_nodes, q50_network_edges)}
 FOUR = "subject, relation, object, source"
 NEAR = f"near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY {FOUR}, slot) AS k FROM e) x WHERE k <= 50)"
 SQL = {
@@ -107,6 +134,16 @@ SELECT DISTINCT {FOUR} FROM (SELECT {FOUR} FROM f UNION ALL SELECT {FOUR} FROM h
     "q41_open_bfs": TRIPLES + f""", {NEAR}, d AS (SELECT entity, count(*) AS d FROM e GROUP BY entity), h1 AS (SELECT * FROM near WHERE entity = 'NATION_1'),
 f AS (SELECT DISTINCT other AS entity FROM h1 WHERE (SELECT d FROM d WHERE entity = 'NATION_1') <= 100 AND other NOT IN (SELECT object FROM t WHERE relation IN ('HAS_BRAND', 'HAS_TYPE')))
 SELECT DISTINCT {FOUR} FROM (SELECT {FOUR} FROM h1 UNION ALL SELECT {FOUR} FROM near WHERE entity IN (SELECT entity FROM f))""",
+    "q71_open_default_budget": TRIPLES + f""", {NEAR}, d AS (SELECT entity, count(*) AS d FROM e GROUP BY entity),
+h1 AS (SELECT *, row_number() OVER (ORDER BY {FOUR}, slot) AS n FROM near WHERE entity = 'NATION_1'),
+f AS (SELECT other AS entity, min(n) AS n FROM h1 WHERE (SELECT d FROM d WHERE entity = 'NATION_1') <= 100 AND other <> 'NATION_1' AND other NOT IN (SELECT object FROM t WHERE relation IN ('HAS_BRAND', 'HAS_TYPE')) GROUP BY other),
+a AS (SELECT {FOUR}, 0 AS hop, n, slot FROM h1 UNION ALL SELECT near.subject, near.relation, near.object, near.source, 1, f.n, near.slot FROM near JOIN f USING (entity)),
+o AS (SELECT *, row_number() OVER (ORDER BY hop, n, {FOUR}, slot) AS place FROM a), u AS (SELECT {FOUR}, min(place) AS place FROM o GROUP BY {FOUR})
+SELECT {FOUR} FROM u ORDER BY place LIMIT 300""",
+    "q72_open_by_relation": TRIPLES + f""", {NEAR}, d AS (SELECT entity, count(*) AS d FROM e GROUP BY entity), h1 AS (SELECT * FROM near WHERE entity = '{SUPPLIERS[0]}'),
+f AS (SELECT DISTINCT other AS entity FROM h1 WHERE (SELECT d FROM d WHERE entity = '{SUPPLIERS[0]}') <= 100 AND relation NOT IN ('HAS_BRAND', 'HAS_TYPE'))
+SELECT DISTINCT {FOUR} FROM (SELECT {FOUR} FROM h1 UNION ALL SELECT {FOUR} FROM near WHERE entity IN (SELECT entity FROM f))""",
+    "q73_last_source": "SELECT 'part:' || l_partkey AS subject, 'SHIPPED_AS' AS relation, l_returnflag AS object, max('order:' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '/' || l_linenumber) AS source FROM lineitem GROUP BY l_partkey, l_returnflag",
     "q42_rank": TRIPLES + f""", {NEAR}, d AS (SELECT entity, count(*) AS d FROM e GROUP BY entity), f AS (SELECT DISTINCT {FOUR} FROM near WHERE entity IN ({IN2}))
 SELECT {FOUR}, round(CASE WHEN relation = 'BASED_IN' THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN subject IN ({IN2}) OR object IN ({IN2}) THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END + 1.0::DOUBLE / ln(2.0::DOUBLE + greatest(a.d, b.d)), 6) AS score
 FROM f JOIN d a ON a.entity = subject JOIN d b ON b.entity = object ORDER BY score DESC, {FOUR} LIMIT 60""",

@@ -66,7 +66,17 @@ def q48_multiset_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.multiset_match(a.where("o_orderstatus <> 'P'"), a.where("o_custkey % 10 <> 3"))
 
 
-QUERIES = {f.__name__: f for f in (q44_intent_route, q45_value_atoms, q45b_value_links, q46_schema_select, q47_self_consistency, q48_multiset_match)}
+def q69_entity_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Q.probe_entities(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_name", "What does Supplier#00000000 ship?")
+    return spark.createDataFrame([(v,) for v in found], "value string")
+
+
+def q70_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = [(i, G.SAMPLE.resolve(Q.words(q))) for i, q in QUESTIONS]
+    return spark.createDataFrame([(i, x.name, x.shape) for i, x in got], "id int, intent string, shape string")
+
+
+QUERIES = {f.__name__: f for f in (q69_entity_probe, q70_intents, q44_intent_route, q45_value_atoms, q45b_value_links, q46_schema_select, q47_self_consistency, q48_multiset_match)}
 _TOK = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
 _LIST = lambda ws: "[" + ", ".join(f"'{w}'" for w in sorted(ws)) + "]"
 SQL = {
@@ -77,7 +87,17 @@ SELECT *, CASE WHEN sql_hits > 0 AND graph_hits > 0 THEN 'sql+graph' WHEN graph_
     "q45b_value_links": "SELECT DISTINCT 'customer' AS \"table\", 'c_mktsegment' AS \"column\", c_mktsegment AS value FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
     "q46_schema_select": f"""SELECT id, "table", CAST(len(list_intersect({_TOK.format('question')}, {_TOK.format('words')})) AS INT) AS score FROM (VALUES {_rows(QUESTIONS)}) q(id, question), (VALUES {_rows(list(LAYER.items()))}) s("table", words)
 WHERE len(list_intersect({_TOK.format('question')}, {_TOK.format('words')})) > 0""",
-    "q47_self_consistency": "SELECT CAST(0 AS INT) AS chosen, CAST(2 AS BIGINT) AS votes",
+    "q47_self_consistency": f"""WITH c0 AS ({CANDIDATES[0]}), c1 AS ({CANDIDATES[1]}), c2 AS ({CANDIDATES[2]}),
+d AS (SELECT (SELECT count(*) FROM (SELECT * FROM c0 EXCEPT ALL SELECT * FROM c1)) + (SELECT count(*) FROM (SELECT * FROM c1 EXCEPT ALL SELECT * FROM c0)) AS d01,
+(SELECT count(*) FROM (SELECT * FROM c0 EXCEPT ALL SELECT * FROM c2)) + (SELECT count(*) FROM (SELECT * FROM c2 EXCEPT ALL SELECT * FROM c0)) AS d02,
+(SELECT count(*) FROM (SELECT * FROM c1 EXCEPT ALL SELECT * FROM c2)) + (SELECT count(*) FROM (SELECT * FROM c2 EXCEPT ALL SELECT * FROM c1)) AS d12),
+v AS (SELECT 0 AS chosen, 1 + CAST(d01 = 0 AS INT) + CAST(d02 = 0 AS INT) AS votes FROM d UNION ALL SELECT 1, 1 + CAST(d01 = 0 AS INT) + CAST(d12 = 0 AS INT) FROM d UNION ALL SELECT 2, 1 + CAST(d02 = 0 AS INT) + CAST(d12 = 0 AS INT) FROM d)
+SELECT CAST(chosen AS INT) AS chosen, CAST(votes AS BIGINT) AS votes FROM v ORDER BY votes DESC, chosen LIMIT 1""",
+    "q69_entity_probe": "SELECT DISTINCT s_name AS value FROM supplier WHERE s_name ILIKE '%Supplier#00000000%' ORDER BY value LIMIT 5",
+    "q70_intents": f"""WITH i AS (SELECT * FROM (VALUES {_rows([(k, i.name, i.shape, ' '.join(sorted(i.triggers))) for k, i in enumerate(G.SAMPLE.intents)])}) v(k, intent, shape, triggers)),
+s AS (SELECT q.id, i.intent, i.shape, row_number() OVER (PARTITION BY q.id ORDER BY len(list_intersect({_TOK.format('question')}, string_split(triggers, ' '))) DESC, shape <> 'pairwise', k) AS n
+FROM (VALUES {_rows(QUESTIONS)}) q(id, question), i WHERE len(list_intersect({_TOK.format('question')}, string_split(triggers, ' '))) > 0)
+SELECT q.id, coalesce(s.intent, 'open') AS intent, coalesce(s.shape, 'open') AS shape FROM (VALUES {_rows(QUESTIONS)}) q(id, question) LEFT JOIN s ON s.id = q.id AND s.n = 1""",
     "q48_multiset_match": """WITH a AS (SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT o_custkey, o_orderstatus FROM orders WHERE o_custkey % 10 <> 3),
 x AS (SELECT count(*) AS only_a FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)), y AS (SELECT count(*) AS only_b FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
 SELECT only_a, only_b, only_a = 0 AND only_b = 0 AS equal FROM x, y""",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.numbering import row_numbers
 from ..session import open_tables
 
 QUERIES: dict = {}
@@ -54,7 +55,7 @@ register("q10_theta_range_join", "customer", "SELECT c_custkey, explode(sequence
 register("q11_semi_in", "customer orders lineitem nation", """
 SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND c_custkey IN
 (SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45))""")
-register("q12_anti_except", "customer orders", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+register("q12_anti_except", "customer orders", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 8 = 0")
 register("q13_exists_cte_shadow", "customer orders", "WITH orders AS (SELECT * FROM orders WHERE o_totalprice > 300000) SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 register("q14_global_agg", "orders", f"SELECT COUNT(*) AS n, {exact_sum('o_totalprice')} AS total, {exact_avg('o_totalprice')} AS mean, MIN(o_totalprice) AS low, MAX(o_totalprice) AS high FROM orders")
 register("q15_group_count", "orders", "SELECT CAST(year(o_orderdate) AS INT) AS y, COUNT(*) AS n FROM orders GROUP BY y")
@@ -69,19 +70,66 @@ register("q22b_top1", "customer orders", "SELECT c_name, COUNT(*) AS n FROM orde
 register("q23_tie_probe", "orders", """
 SELECT MIN(v) AS last_in, MIN(w) AS first_out, MIN(v) > MIN(w) AS safe FROM (SELECT CASE WHEN k <= 10 THEN o_totalprice END AS v, CASE WHEN k = 11 THEN o_totalprice END AS w
 FROM (SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS k FROM (SELECT o_totalprice, o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 11) t) u) z""")
-register("q24_row_number", "customer", "SELECT row_number() OVER (ORDER BY id, k) AS ticket, id, k FROM (SELECT c_custkey AS id, explode(sequence(1L, c_custkey % 3 + 1)) AS k FROM customer) t",
-         "SELECT row_number() OVER (ORDER BY c_custkey, k) AS ticket, c_custkey AS id, g.k FROM customer JOIN range(1, 4) g(k) ON g.k <= c_custkey % 3 + 1")
+
+
+def q24_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = open_tables(spark, sf_dir, "customer").sql("SELECT c_custkey AS id, explode(sequence(1L, c_custkey % 3 + 1)) AS k FROM customer")
+    return row_numbers(each, "ticket", "id", "k")
+
+
+QUERIES["q24_row_number"] = q24_row_number
+SQL["q24_row_number"] = "SELECT row_number() OVER (ORDER BY c_custkey, k) AS ticket, c_custkey AS id, g.k FROM customer JOIN range(1, 4) g(k) ON g.k <= c_custkey % 3 + 1"
 register("q25_split_explode_group", "part", "SELECT w, COUNT(*) AS n FROM (SELECT explode(split(p_name, ' ')) AS w FROM part) t GROUP BY w", "SELECT w, COUNT(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) t GROUP BY w")
 register("q26_try_cast", "part", "SELECT p_partkey, try_cast(substr(p_brand, 7) AS INT) AS brand_no, try_cast(p_name AS DOUBLE) AS bad, try_cast('0' AS BOOLEAN) AS flag FROM part", "SELECT p_partkey, try_cast(substr(p_brand, 7) AS INT) AS brand_no, try_cast(p_name AS DOUBLE) AS bad, try_cast('0' AS BOOLEAN) AS flag FROM part")
 register("q27_json_props", "events", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
 register("q53_left_outer", "customer orders", "SELECT c_custkey, COUNT(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
-register("q54_natural_full", "nation region", "SELECT r_name, n_name FROM nation FULL OUTER JOIN region ON n_regionkey = r_regionkey AND n_nationkey > 10")
+register("q54_full_outer", "nation region", "SELECT r_name, n_name FROM nation FULL OUTER JOIN region ON n_regionkey = r_regionkey AND n_nationkey > 10")
 register("q55_window_rank", "orders", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) t WHERE k <= 2")
 register("q56_nulls_last", "customer", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS k FROM customer ORDER BY k ASC NULLS LAST, c_custkey LIMIT 15")
 register("q57_intersect", "customer supplier", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 register("q58_safe_division", "part", "SELECT p_partkey, p_retailprice / nullif(p_size - 5, 0) AS ratio, p_partkey % 7 AS m, p_name || '/' || CAST(p_partkey AS STRING) AS label FROM part", "SELECT p_partkey, p_retailprice / nullif(p_size - 5, 0) AS ratio, p_partkey % 7 AS m, p_name || '/' || CAST(p_partkey AS VARCHAR) AS label FROM part")
 
 
+register("q60_natural_join", "customer nation supplier", "SELECT k, c_name, s_name FROM (SELECT c_nationkey AS k, c_name FROM customer WHERE c_custkey % 10 = 0) c NATURAL JOIN (SELECT s_nationkey AS k, s_name FROM supplier) s")
+register("q61_explode_join", "part lineitem", """
+SELECT w, COUNT(*) AS n, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM (SELECT p_partkey, explode(split(p_name, ' ')) AS w FROM part) x JOIN lineitem ON l_partkey = p_partkey GROUP BY w""",
+"SELECT w, COUNT(*) AS n, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) x JOIN lineitem ON l_partkey = p_partkey GROUP BY w")
+register("q62_counts_without_nulls", "orders", "SELECT o_orderpriority, COUNT(*) AS n, COUNT(x) AS known, CAST(SUM(x) AS BIGINT) AS total FROM (SELECT o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS x FROM orders) t GROUP BY o_orderpriority")
+
+
+def _part_text(spark: SparkSession, sf_dir: str, made: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(made).alias("x"))
+
+
+def q63_wiki_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = "concat('{{Box|a={{b|c}}}}', repeat(chr(39), 3), p_name, repeat(chr(39), 3), ' [[', p_brand, '|', p_type, ']]<ref name=x>y</ref> [[File:a.png|thumb|z]]<!-- c -->')"
+    return _part_text(spark, sf_dir, made).select("p_partkey", T.strip_wikitext(F.col("x")).alias("text"))
+
+
+def q64_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = "concat('lead', chr(10), '== Cast ==', chr(10), p_brand, chr(10), CASE p_size % 3 WHEN 0 THEN '=== plot ===' WHEN 1 THEN '==SYNOPSIS==' ELSE '== Other ==' END, chr(10), p_name, chr(10), '== End ==', chr(10), 'x')"
+    return _part_text(spark, sf_dir, made).select("p_partkey", T.section(F.col("x")).alias("text"))
+
+
+def q65_json_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = "CASE WHEN p_size % 5 = 0 THEN 'no json' ELSE to_json(array(p_brand, '', p_type)) END"
+    return _part_text(spark, sf_dir, made).select("p_partkey", F.explode(T.json_names(F.col("x"))).alias("name"))
+
+
+def q66_triple_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = "concat(p_name, ' | HAS_BRAND | ', p_brand, chr(10), 'no triple', chr(10), p_name, ' | UNKNOWN | x', chr(10), p_name, '|HAS_TYPE|', p_type, chr(10), p_name, ' | HAS_TYPE | ')"
+    return _part_text(spark, sf_dir, made).select("p_partkey", F.explode(T.triple_lines(F.col("x"), ("HAS_BRAND", "HAS_TYPE"))).alias("t")).select("p_partkey", "t.*")
+
+
+for _q, _sql in (
+    (q63_wiki_text, "SELECT p_partkey, p_name || ' ' || p_type AS text FROM part"),
+    (q64_section, "SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN p_name ELSE '' END AS text FROM part"),
+    (q65_json_names, "SELECT p_partkey, unnest([p_brand, p_type]) AS name FROM part WHERE p_size % 5 <> 0"),
+    (q66_triple_lines, "SELECT p_partkey, p_name AS subject, 'HAS_BRAND' AS relation, p_brand AS object FROM part UNION ALL SELECT p_partkey, p_name, 'HAS_TYPE', p_type FROM part"),
+):
+    QUERIES[_q.__name__], SQL[_q.__name__] = _q, _sql
+
+
 def q28_markup_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.strip_tags(F.col("html")).alias("text"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,19 +14,41 @@ def build(name: str = "groundspark", master: str | None = None, **conf: str) ->
     b = SparkSession.builder.appName(name)
     if master:
         b = b.master(master)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true"} | {k.replace("__", "."): v for k, v in conf.items()}
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.ansi.doubleQuotedIdentifiers": "true", "spark.sql.adaptive.enabled": "true"} | {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path for tables of this application: in the shared folder that the cluster names, or in a folder of its own if all runs on this machine."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = getattr(scratch, "own", None) or tempfile.mkdtemp(prefix="groundspark-")
+        scratch.own = found
+    path = f"{found.rstrip('/')}/{spark.sparkContext.applicationId}-{name}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def sql_session(spark: SparkSession) -> SparkSession:
+    """A session of its own that reads "name" as a column, as the SQL standard does."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.ansi.enabled", "true")
+    own.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+    return own
+
+
 def view_name(stem: str) -> str:
     return re.sub(r"\W", "_", stem)
 
 
 def open_tables(spark: SparkSession, sf_dir: str, *names: str) -> SparkSession:
     """A session of its own in which the named Parquet tables of a folder are temporary views."""
-    own = spark.newSession()
+    own = sql_session(spark)
     for n in names:
         own.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(view_name(n))
     return own

@@ -119,7 +119,7 @@ def test_answers_are_corrected_and_refusals_end_them(spark):
     model = Q.CannedModel(["SELECT nope FROM t", "```sql\nSELECT k FROM t WHERE v = 2;\n```"])
     got = Q.answer_sql("which k", model, own.sql, own)
     assert got.result.collect()[0].k == "b" and "nope" in model.prompts[1]
-    top = Q.answer_sql("top k", Q.CannedModel(["SELECT k FROM t", "SELECT k FROM t", "SELECT k FROM t", "SELECT k FROM t ORDER BY v DESC LIMIT 1"]), own.sql, own)
+    top = Q.answer_sql("top k", Q.CannedModel(["sort, then take one", "SELECT k FROM t", "SELECT k FROM t", "SELECT k FROM t", "SELECT k FROM t ORDER BY v DESC LIMIT 1"]), own.sql, own)
     assert top.sql.endswith("LIMIT 1")
 
     def refuse(_):
