@@ -314,7 +314,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = True)
     met = named.select("*", F.count("*").over(by).alias("rows"), F.min("id").over(by).alias("least"))
     root = F.col("kind") % 2 == 1
     hit = met.where(F.when(root, F.col("settled") | (F.col("id") > F.col("least"))).otherwise(F.col("settled") | (F.col("rows") > 1)))
-    marks = hit.groupBy("id", "c").agg(F.max(root).alias("copy"), F.collect_set(F.when(~root, F.struct("at", "n"))).alias("runs"))
+    # A row listed many times has its runs once: distinct rows, dealt out by document, so that no further exchange follows.
+    hit = hit.select("id", "c", root.alias("copy"), F.when(~root, F.col("at")).alias("at"), F.when(~root, F.col("n")).alias("n")).repartition("id", "c").distinct()
+    marks = hit.groupBy("id", "c").agg(F.max("copy").alias("copy"), F.collect_list(F.when(~F.col("copy"), F.struct("at", "n"))).alias("runs"))
     marks, _ = common.stored(marks, "anchors")
     del named, met, hit
     common.release(docs.sparkSession)
@@ -326,9 +328,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep_text: bool = True)
     at = F.shiftright("ac", 32)
     place = F.struct("id", at)
     ranked = sent.select("*", F.min(place).over(by).alias("least"))
-    late = ranked.where((F.col("g") < 0) | (place > F.col("least"))).select("id", F.col("ac").bitwiseAND(0xFFFFFFFF).alias("c"), F.struct(at.cast("int").alias("at"), F.when(F.col("g") < 0, -1 - F.col("g")).otherwise(1).cast("int").alias("n")).alias("r"))
-    copies = marks.where("copy").select("id", "c", F.lit(None).cast("struct<at:int,n:int>").alias("r"))
-    lost = late.withColumn("copy", F.lit(False)).union(copies.withColumn("copy", F.lit(True))).groupBy("id", "c").agg(F.max("copy").alias("copy"), F.collect_set("r").alias("runs"))
+    late = ranked.where((F.col("g") < 0) | (place > F.col("least"))).select("id", F.col("ac").bitwiseAND(0xFFFFFFFF).alias("c"), F.lit(False).alias("copy"), at.cast("int").alias("at"), F.when(F.col("g") < 0, -1 - F.col("g")).otherwise(1).cast("int").alias("n"))
+    copies = marks.where("copy").select("id", "c", "copy", F.lit(None).cast("int"), F.lit(None).cast("int"))
+    lost = late.union(copies).repartition("id", "c").distinct()
+    lost = lost.groupBy("id", "c").agg(F.max("copy").alias("copy"), F.collect_list(F.when(~F.col("copy"), F.struct("at", "n"))).alias("runs"))
     out = texts.join(lost, ["id", "c"], "left").select("doc_id", F.coalesce("copy", F.lit(False)).alias("copy"), "runs", "text")
     return out.mapInArrow(_cut(width, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text)
 

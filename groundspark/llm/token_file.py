@@ -55,6 +55,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int
     (
         d.mapInArrow(run, SCHEMA)
         .write.option("compression", "zstd")
+        .option("parquet.compression.codec.zstd.level", 1)
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary#ids.list.element", "false")
         .option("parquet.block.size", ROW_GROUP_BYTES)
