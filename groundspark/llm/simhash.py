@@ -230,7 +230,9 @@ def near_duplicates(docs: DataFrame, tables: int = TABLES) -> DataFrame:
     own = halves(reps, tables)
     equal = stars(own, "equal-halves")
     distinct, _ = common.stored(own.groupBy("v").agg(F.min("s").alias("s")), "halves")
-    met = equal.union(stars(half_balls(distinct), "balls")).distinct()
+    # Distinct halves: a bucket holds its own value and the 32 that differ in one bit at most, so no bucket is hot.
+    near = half_balls(distinct).select("s", F.min("s").over(Window.partitionBy("v")).alias("a")).where("s <> a").select("a", F.col("s").alias("b"))
+    met = equal.union(near).distinct()
     bits = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(tables)), F.lit(0))
     met = met.join(reps.select(F.col("s").alias("a"), F.col("f").alias("fa")), "a").join(reps.select(F.col("s").alias("b"), F.col("f").alias("fb")), "b")
     pairs, _ = common.stored(met.where(bits <= STRANGERS * tables).select("a", "b"), "pairs")
