@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import section, strip_wikitext
+from ..session import reach_workers
 
 #: Answers of a server after which asking again makes sense.
 PASSING = frozenset({429, 500, 502, 503, 504})
@@ -45,6 +46,7 @@ def bridge(ids: DataFrame, ask: Callable[[list[str]], dict[str, str]], batch: in
                     continue
                 yield pd.DataFrame({"id": list(got), "other": list(got.values())}, dtype=object)
 
+    reach_workers(ids.sparkSession)
     return ids.select(F.col(ids.columns[0]).cast("string").alias("id")).distinct().mapInPandas(run, "id string, other string")
 
 
@@ -61,6 +63,7 @@ def fetch(pages: DataFrame, ask: Callable[[str], str], attempts: int = 4) -> Dat
                     continue
             yield pd.DataFrame([r for r in rows if r[1] is not None], columns=["id", "markup"], dtype=object)
 
+    reach_workers(pages.sparkSession)
     return pages.select("id", "page").mapInPandas(run, "id string, markup string")
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..session import reach_workers
+
 #: Words that carry no meaning of their own in a question about entities.
 STOP = frozenset("a an the of in on at to for by with and or is are was were be do does did which who whom whose what when where how many much all any it its this that these those from as".split())
 
@@ -103,6 +105,7 @@ def strip_wikitext(c: Column) -> Column:
     def run(x: pd.Series) -> pd.Series:
         return x.map(wiki_text, na_action="ignore")
 
+    reach_workers(SparkSession.active())
     run.__annotations__ = {"x": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, StringType())(c)
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reach_workers
 from . import graph as G
 
 
@@ -45,6 +46,7 @@ def extract(docs: DataFrame, ontology: G.Ontology, model: Callable[[str], str],
                         continue
             yield pd.DataFrame(out, columns=list(G.TRIPLE), dtype=object)
 
+    reach_workers(docs.sparkSession)
     d = docs.select(F.col("id").cast("string").alias("id"), "text")
     return d.mapInPandas(run, "subject string, relation string, object string, source string")
 

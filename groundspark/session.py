@@ -20,6 +20,16 @@ def build(name: str = "groundspark", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Python workers import this package from where the driver has it, whatever folder the driver was started in."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [env.get("PYTHONPATH")])])
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path for tables of this application: in the shared folder that the cluster names, or in a folder of its own if all runs on this machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -1,5 +1,8 @@
 """Settings, identity, observation, extraction, narratives, evaluation, enrichment and the service calls."""
 
+import os
+import subprocess
+import sys
 from datetime import UTC, datetime
 
 import pytest
@@ -274,3 +277,20 @@ def test_wiki_columns(spark):
 def test_names_in_questions():
     assert Q.names_in("Which films of Åsa Öberg star Émile?") == ["Åsa Öberg", "Émile"]
     assert Q.names_in("the Matrix 2, Alien") == ["Matrix 2", "Alien"] and Q.names_in("what is it") == []
+
+
+def test_python_workers_find_the_package_from_any_folder(tmp_path):
+    """The driver may be started elsewhere, with the repository on sys.path alone."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from groundspark.session import build
+from groundspark.functions import text as T
+spark = build("elsewhere", "local[1]", **{{"spark.ui.enabled": "false"}})
+df = spark.createDataFrame([("[[a|b]]",)], "c string")
+assert df.select(T.strip_wikitext(df.c)).first()[0] == "b"
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
