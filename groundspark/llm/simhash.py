@@ -19,6 +19,14 @@ pair: copies of one text are all linked to it, and a text has up to 66 buckets a
 fingerprint to meet others in.  Equal halves meet as one half before anything is
 emitted.  All work is linear in the number of halves.
 
+Fingerprints alone miss some pairs, so an exact search of the shingles follows
+(:func:`prefix_pairs`): two sets of similarity 0.8 share one of the first fifth of
+their shingles in any common order.  The first order is that of the hashes.  A
+shingle of over BUCKET sets is not expanded into pairs: it goes to the end of the
+order, and the sets that met in it are dealt again, as often as that helps.  Sets
+that hold little but such shingles are compared in blocks, all with all, in
+bounded memory; that part alone is quadratic.
+
 Defined results: a null or empty text, or one without words, has fingerprint
 zero and is linked like any other; fewer than `width` words are one shingle;
 repeated rows share their component; a null doc_id has the smallest id of its
@@ -39,9 +47,14 @@ from .wordhash import Rolling, WordHashes, mix
 WIDTH, SEED = 3, 42
 #: Near-duplicates: words of a shingle, the similarity as a fraction, fingerprints of a text.
 SET_WIDTH, OVER, UNDER, TABLES = 5, 4, 5, 4
-#: Candidates that differ in more bits a fingerprint are strangers (of 5,063 pairs of similarity 0.8 in two
-#: samples 8 differed in more than 15; texts that share nothing differ in about 32).
-STRANGERS = 16
+#: Sets that may meet in one shingle before it goes to the end of the order; the most such shingles sent to the workers at once.
+BUCKET, MOST_HOT = 64, 250_000
+#: Orders tried, and the number of shingles in the sets that are left below which no further one is.
+ROUNDS, FEW_SHINGLES = 8, 600_000
+#: Text of one side of a block of sets that are compared all with all.
+BLOCK_BYTES = 2 << 20
+#: Bits of the longest parity sketch.
+PARITY_BITS = 1 << 15
 #: Links beyond which the lookup of a node's least neighbour is a table of its own (the rows don't depend on it).
 MANY_LINKS = 1_000_000
 #: Text of one side of a tile of candidate pairs.
@@ -153,18 +166,51 @@ class Shingles:
         return np.unique(mix(self.rolls[k].windows(h) + np.uint64(k)))
 
 
+def name_of(shingles: np.ndarray) -> int:
+    """A signed 64-bit name of a set of shingles."""
+    return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """Bit k is 1 if an odd number of the shingles end in k; about a bit for each shingle."""
+    w = min(PARITY_BITS, max(64, 1 << (len(shingles) - 1).bit_length())) if len(shingles) else 64
+    odd = np.bincount((shingles & np.uint64(w - 1)).astype(np.int64), minlength=w) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(na: int, pa_: bytes, nb: int, pb: bytes) -> bool:
+    """False only if the sets, of these sizes and parities, are less similar than 0.8.
+
+    Sets differ in at least as many shingles as their parities differ in bits,
+    and similar ones in a ninth of both at most.
+    """
+    if UNDER * min(na, nb) < OVER * max(na, nb):
+        return False
+    x, y = int.from_bytes(pa_, "little"), int.from_bytes(pb, "little")
+    m, n = 8 * len(pa_), 8 * len(pb)
+    if m < n:
+        x, y, m, n = y, x, n, m
+    while m > n:
+        m //= 2
+        x = (x >> m) ^ (x & ((1 << m) - 1))
+    return (UNDER + OVER) * (x ^ y).bit_count() <= (UNDER - OVER) * (na + nb)
+
+
 def _sketches(tables: int):
-    """Rows (doc_id, h, s, f): s names the set of shingles, f are the fingerprints, the first of them operator 9's own."""
+    """Rows (doc_id, h, s, f, n, p): s names the set of shingles, f are the fingerprints, the first of them operator 9's own, n and p the set's size and parity."""
 
     def run(batches):
         sets = Shingles()
         for b in batches:
-            s, f = [], []
+            s, f, n, p = [], [], [], []
             for text in common.texts_of(b):
-                s.append(xxhash.xxh64_intdigest(sets(text).tobytes()) - (1 << 63))
+                x = sets(text)
+                s.append(name_of(x))
+                n.append(len(x))
+                p.append(parity(x))
                 h = np.array(shingle_hashes(text), np.uint64)
                 f.append(np.array([fingerprint(mix(h + np.uint64(k)) if k else h) for k in range(tables)], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.int64()), pa.array(f, pa.list_(pa.int64()))], ["doc_id", "h", "s", "f"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.int64()), pa.array(f, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(p, pa.binary())], ["doc_id", "h", "s", "f", "n", "p"])
 
     return run
 
@@ -188,6 +234,158 @@ def stars(members: DataFrame, name: str) -> DataFrame:
     return members.join(centres, "v").where("s <> a").select("a", F.col("s").alias("b"))
 
 
+class Prefix:
+    """The shingles of a set that are least in the last of several orders; None if the set is not among those that order is for.
+
+    The first order is that of the hashes.  Each level (shingles in ascending
+    order, how many sets met in each) puts the shingles of all levels so far at
+    the end, by these counts, for the sets that met in one of its own.
+    """
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
+        self.steps, known = [], {}
+        for hot, count in levels:
+            known |= dict(zip(hot.tolist(), count.tolist(), strict=True))
+            keys = np.array(sorted(known), np.uint64)
+            self.steps.append((hot, keys, np.array([known[k] for k in keys.tolist()], np.int64)))
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray | None:
+        n = len(shingles)
+        size = n + OVER * n // -UNDER + 1
+        least = shingles[:size]
+        for hot, keys, counts in self.steps:
+            if not (hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least).any():
+                return None
+            at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+            least = shingles[np.lexsort((shingles, np.where(keys[at] == shingles, counts[at], 0)))[:size]]
+        return least
+
+
+def _prefixes(levels: list, whole: bool):
+    """Rows (v, s, n): the shingles v of the prefix of set s, which has n; or (s, text) of the sets that the last level leaves."""
+
+    def run(batches):
+        sets, prefix, seen = Shingles(), Prefix(levels), set()
+        for batch in batches:
+            for b in common.chunks(batch):
+                v, s, n, kept = [], [], [], []
+                for text in common.texts_of(b):
+                    x = sets(text)
+                    name = name_of(x)
+                    if name in seen:  # copies in one task
+                        continue
+                    if len(seen) >= 200_000:
+                        seen.clear()
+                    seen.add(name)
+                    least = prefix(x)
+                    if least is not None and len(least):
+                        v.append(least.view(np.int64))
+                        s.append(name)
+                        n.append(len(x))
+                        kept.append(text)
+                if whole:
+                    yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(kept, pa.string())], ["s", "text"])
+                elif v:
+                    size = [len(x) for x in v]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)), pa.array(np.repeat(np.array(s, np.int64), size)), pa.array(np.repeat(np.array(n, np.int32), size))], ["v", "s", "n"])
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b: pairs of sets of near sizes that meet in a shingle of their prefixes; and the links (a, b) of the sets that are compared in blocks.
+
+    All pairs of similarity 0.8 or more are among the pairs or connected by the links.
+    """
+    spark = texts.sparkSession
+    levels, known, out = [], set(), None
+    least = Window.partitionBy("v").orderBy("s")
+    while True:
+        rows = texts.mapInArrow(_prefixes(list(levels), False), "v long, s long, n int").select("*", F.lag("s").over(least).alias("p"), F.lead("s").over(least).alias("q"))
+        once = rows.where((F.col("p").isNull() & F.col("q").isNotNull()) | (F.col("p") != F.col("s"))).select("v", "s", "n")
+        shared, _ = common.stored(once, "shared-shingles")
+        hot = shared.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > BUCKET).orderBy(F.desc("c"), "v").limit(MOST_HOT).collect()
+        cool = shared
+        if hot:
+            keys = F.broadcast(spark.createDataFrame([(r.v,) for r in hot], "v long"))  # at most MOST_HOT
+            cool = shared.join(keys, "v", "left_anti")
+        x, y = cool.toDF("v", "a", "na"), cool.toDF("v", "b", "nb")
+        pairs = x.join(y, "v").where((F.col("a") < F.col("b")) & (UNDER * F.least("na", "nb") >= OVER * F.greatest("na", "nb"))).select("a", "b").distinct()
+        pairs, _ = common.stored(pairs, "met")
+        out = pairs if out is None else out.union(pairs)
+        if not hot:
+            return out, spark.createDataFrame([], "a long, b long")
+        fresh = {r.v for r in hot} - known
+        known |= fresh
+        v = np.array([r.v for r in hot], np.int64).view(np.uint64)
+        order = np.argsort(v)
+        levels.append((v[order], np.array([r.c for r in hot], np.int64)[order]))
+        left = shared.join(keys, "v", "left_semi").select("s", "n").distinct().agg(F.sum("n")).first()[0]
+        if not fresh or left <= FEW_SHINGLES or len(levels) >= ROUNDS:
+            return out, _block_links(texts.mapInArrow(_prefixes(list(levels), True), "s long, text string"))
+
+
+def _block_links(rows: DataFrame) -> DataFrame:
+    """a, b: links that connect all similar sets of rows (s, text), compared all with all in pairs of blocks."""
+    own, _ = common.stored(rows.groupBy("s").agg(F.first("text").alias("text")), "left")
+    k = max(1, -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    own = own.withColumn("i", F.pmod(F.xxhash64("s"), F.lit(k)))
+    each = own.select("i", "s", "text", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
+    dealt = each.select((F.least("i", "j") * k + F.greatest("i", "j")).alias("t"), "i", "s", "text")
+    return common.stored(dealt.repartition("t").sortWithinPartitions("t").mapInArrow(_all_with_all, "a long, b long"), "block-links")[0]
+
+
+def _all_with_all(batches):
+    """Links (a, b) of similar sets of one tile, of different blocks if it has two; a chain of links stands for more of them."""
+    shingles = Shingles()
+
+    def links(rows: list) -> list:
+        n = np.array([len(x) for _, _, x in rows])
+        block = np.array([i for i, _, _ in rows])
+        two = block.min() != block.max()
+        ids = np.repeat(np.arange(len(rows)), n)
+        u, at = np.unique(np.concatenate([x for _, _, x in rows]), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        holders, start = ids[order], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(u)))])
+        ends, root, out = np.cumsum(n), list(range(len(rows))), []
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x in range(len(rows)):
+            both = np.bincount(np.concatenate([holders[start[t] : start[t + 1]] for t in at[ends[x] - n[x] : ends[x]].tolist()]), minlength=len(rows))
+            hit = (UNDER * both >= OVER * (n[x] + n - both)) & (np.arange(len(rows)) > x)
+            for y in np.flatnonzero(hit & (block != block[x]) if two else hit).tolist():
+                if find(x) != find(y):
+                    root[find(x)] = find(y)
+                    out.append((rows[x][1], rows[y][1]))
+        return out
+
+    def batch_of(pairs: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    tile, rows = None, []
+    for batch in batches:
+        for t, i, s, text in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
+            if t != tile:
+                if rows:
+                    yield batch_of(links(rows))
+                tile, rows = t, []
+            rows.append((i, s, shingles(text)))
+    if rows:
+        yield batch_of(links(rows))
+
+
+def _possible(batches):
+    """The pairs (a, b) whose sizes and parities allow the similarity."""
+    for batch in batches:
+        a, b, *rest = [batch.column(i).to_pylist() for i in range(6)]
+        keep = pa.array([may_be_similar(*x) for x in zip(*rest, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+
+
 def _verify(batches):
     """Pairs (a, b) of a tile whose texts are similar; a tile's texts (kind 0) come before its pairs."""
     sets, tile, held = Shingles(), None, {}
@@ -213,17 +411,15 @@ def near_duplicates(docs: DataFrame, tables: int = TABLES) -> DataFrame:
     """doc_id, h (row_key) of the document that stays of each class: the smallest doc_id (null last), then the smallest h.
 
     Classes are connected by pairs whose sets of five-word shingles have a
-    Jaccard similarity of 0.8 or more.  Equal sets always meet; others do if a
-    half of some fingerprint differs in at most two bits and one of the two is
-    the bucket's centre, or through others (README gives the measured share).
-    No pair that is less similar is ever linked, but for collisions of 64-bit
-    hashes.
+    Jaccard similarity of 0.8 or more, all of them and no others, but for
+    collisions of 64-bit hashes.  Fingerprints give most candidates, the exact
+    search of the shingles those they miss.
     """
     spark = docs.sparkSession
     texts = common.documents(docs).select("doc_id", common.row_key().alias("h"), "text")
-    rows = texts.mapInArrow(_sketches(tables), "doc_id long, h long, s long, f array<long>")
+    rows = texts.mapInArrow(_sketches(tables), "doc_id long, h long, s long, f array<long>, n int, p binary")
     who = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("who")
-    reps, _ = common.stored(rows.groupBy("s").agg(who, F.min("f").alias("f")), "sets")
+    reps, _ = common.stored(rows.groupBy("s").agg(who, F.min("f").alias("f"), F.min("n").alias("n"), F.min("p").alias("p")), "sets")
 
     # The least set of a bucket is its centre: names of sets are hashes, so one order of them serves all buckets, and a text
     # meets the same centre in many of its buckets.  Equal halves are one before anything is emitted.
@@ -232,12 +428,13 @@ def near_duplicates(docs: DataFrame, tables: int = TABLES) -> DataFrame:
     distinct, _ = common.stored(own.groupBy("v").agg(F.min("s").alias("s")), "halves")
     # Distinct halves: a bucket holds its own value and the 32 that differ in one bit at most, so no bucket is hot.
     near = half_balls(distinct).select("s", F.min("s").over(Window.partitionBy("v")).alias("a")).where("s <> a").select("a", F.col("s").alias("b"))
-    met = equal.union(near).distinct()
-    bits = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(tables)), F.lit(0))
-    met = met.join(reps.select(F.col("s").alias("a"), F.col("f").alias("fa")), "a").join(reps.select(F.col("s").alias("b"), F.col("f").alias("fb")), "b")
-    pairs, _ = common.stored(met.where(bits <= STRANGERS * tables).select("a", "b"), "pairs")
+    found, linked = prefix_pairs(texts)
+    ordered = equal.union(near).union(found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of = lambda x: reps.select(F.col("s").alias(x), F.col("n").alias("n" + x), F.col("p").alias("p" + x))
+    met = ordered.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "pa", "nb", "pb")
+    pairs, _ = common.stored(met.mapInArrow(_possible, "a long, b long"), "pairs")
     common.release(spark)
-    root = components(_similar(pairs, reps, texts), spark)
+    root = components(_similar(pairs, reps, texts).union(linked), spark)
     classes = reps.join(root, reps["s"] == root["node"], "left").groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("who").alias("who"))
     return classes.select("who.doc_id", "who.h")
 

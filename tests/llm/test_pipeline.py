@@ -141,6 +141,55 @@ def test_near_copies_of_similarity_0_8(spark):
     assert want <= got and len(got) <= len(want) + 2 and 12 < len(want) < 60
 
 
+@pytest.mark.parametrize("bucket, few", [(64, 600_000), (3, 0), (3, 600_000)])
+def test_near_copies_lose_no_pair(spark, monkeypatch, bucket, few):
+    """Pairs just over similarity 0.8, and a family whose shingles are all frequent: the classes of all pairs, none missed."""
+    import brute
+
+    import corpus_pipeline as p
+    from groundspark.llm import simhash
+
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "FEW_SHINGLES", few)
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", 6_000)
+    rng, rows = random.Random(9), []
+
+    def variant(base, edits):
+        w = list(base)
+        for k in range(edits):
+            w[(2 * k + 1) * len(w) // (2 * edits)] = f"n{rng.randint(0, 99999)}"
+        return " ".join(w)
+
+    for g in range(120):
+        base = [f"g{g}v{rng.randint(0, 500)}" for _ in range(rng.randint(100, 180))]
+        rows += [(len(rows) + k, variant(base, e)) for k, e in enumerate((0, len(base) // 46, len(base) // 44))]
+    family = [f"f{k}" for k in range(90)]
+    for _ in range(40):
+        w = list(family)
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w))] = f"e{rng.randint(0, 3)}"
+        rows.append((len(rows), " ".join(w)))
+    got = {r.doc_id for r in p.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()}
+    assert got == {r[0] for r in brute.one_of_each(rows)}
+
+
+def test_parities_reject_no_similar_pair():
+    import numpy as np
+    from groundspark.llm import simhash
+
+    rng = np.random.default_rng(5)
+    for size in (1, 5, 64, 300, 5_000, 70_000):
+        for _ in range(5):
+            base = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+            cut = int(len(base) * rng.uniform(0, 0.22))
+            other = np.unique(np.concatenate([base[cut:], rng.integers(0, 1 << 63, int(size * rng.uniform(0, 0.1))).astype(np.uint64)]))
+            both = len(np.intersect1d(base, other))
+            if 5 * both >= 4 * (len(base) + len(other) - both):
+                assert simhash.may_be_similar(len(base), simhash.parity(base), len(other), simhash.parity(other))
+        far = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        assert size < 64 or not simhash.may_be_similar(len(base), simhash.parity(base), len(far), simhash.parity(far))
+
+
 def test_decisions_are_by_row_and_not_by_id(spark, tmp_path):
     import corpus_pipeline as p
 
