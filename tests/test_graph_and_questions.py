@@ -161,3 +161,36 @@ def test_film_etl_and_triples(spark, tmp_path):
 
 def test_every_library_query_has_sql():
     assert set(plans.QUERIES) == set(plans.SQL) and len(plans.QUERIES) > 60
+
+
+def test_tasks_grow_with_the_tables(spark, monkeypatch):
+    """The triples' sorts and the pairs of a nation are dealt into tasks by the number of rows, with the same rows."""
+    from groundspark.plans import graph_queries, relational
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, graph_queries.derived(spark, sf).collect()))
+    monkeypatch.setattr(G, "TASK_ROWS", 500)
+    many = graph_queries.derived(spark, sf)
+    assert many.rdd.getNumPartitions() >= 12 and sorted(map(tuple, many.collect())) == want
+    q = relational.QUERIES["q60_natural_join"]
+    want = sorted(map(tuple, q(spark, sf).collect()))
+    monkeypatch.setattr(relational, "PAIRS", 100)
+    many = q(spark, sf)
+    assert many.rdd.getNumPartitions() >= 10 and sorted(map(tuple, many.collect())) == want
+
+
+def test_cluster_filters_edges_before_any_exchange(spark):
+    from groundspark.plans import graph_queries
+
+    plan = graph_queries.q39_cluster(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    semi = [x for x in plan.splitlines() if "LeftSemi" in x]
+    assert semi and all("BroadcastHashJoin" in x for x in semi)
+
+
+def test_store_refuses_names_and_keeps_what_it_held(spark, tmp_path):
+    good = spark.createDataFrame([("a", "R", "b", "s")], "subject string, relation string, object string, source string")
+    G.save_store(good, f"{tmp_path}/s")
+    with pytest.raises(ValueError):
+        G.save_store(good.selectExpr("subject", "'../x' AS relation", "object", "source"), f"{tmp_path}/s")
+    G.save_store(good.union(good.selectExpr("subject", "'T'", "object", "source")), f"{tmp_path}/s")
+    assert sorted(r.relation for r in G.open_store(spark, f"{tmp_path}/s").collect()) == ["R", "T"]
